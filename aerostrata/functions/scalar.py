@@ -18,6 +18,11 @@ def fixed(col: Column | str) -> Column:
     return F.round(c + F.lit(_TIE_SHIFT), 6)
 
 
+def fixed_sql(column: str) -> str:
+    """`fixed` of a column as SQL text; long select lists are built faster from text."""
+    return f"round(`{column}` + {_TIE_SHIFT!r}D, 6)"
+
+
 def clean_nan(df: DataFrame) -> DataFrame:
     """NaN means missing: turn it into NULL in every floating column.
 

@@ -39,3 +39,30 @@ def scale(df: DataFrame, columns: list[str], stats: DataFrame) -> DataFrame:
     return df.join(F.broadcast(stats)).selectExpr(*[
         f"(`{c}` - `_m_{c}`) / `_s_{c}` AS `{c}`" if c in wanted else f"`{c}`" for c in df.columns
     ])
+
+
+def fit_standardizer(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Means and population deviations of the mean-imputed columns, in a single aggregate.
+
+    Filling with the mean leaves the mean as it is and spreads the squared deviations of the
+    valid values over all rows, so no imputed copy of the data has to be scanned.
+    """
+    stats = df.agg(
+        F.expr("count(1) AS _rows"),
+        *[F.expr(f"avg(CAST(`{c}` AS DOUBLE)) AS `_a_{c}`") for c in columns],
+        *[F.expr(f"var_pop(CAST(`{c}` AS DOUBLE)) * count(`{c}`) AS `_q_{c}`") for c in columns],
+    )
+    return stats.selectExpr(
+        *[f"coalesce(`_a_{c}`, 0D) AS `_m_{c}`" for c in columns],
+        *[f"CASE WHEN `_q_{c}` > 0 THEN sqrt(`_q_{c}` / _rows) ELSE 1D END AS `_s_{c}`"
+          for c in columns],
+    )
+
+
+def standardize(df: DataFrame, columns: list[str], stats: DataFrame) -> DataFrame:
+    """Mean-impute and scale with the one-row result of `fit_standardizer`."""
+    wanted = set(columns)
+    return df.join(F.broadcast(stats)).selectExpr(*[
+        f"(coalesce(`{c}`, `_m_{c}`) - `_m_{c}`) / `_s_{c}` AS `{c}`" if c in wanted else f"`{c}`"
+        for c in df.columns
+    ])

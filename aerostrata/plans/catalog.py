@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aerostrata.functions.scalar import fixed
+from aerostrata.functions.scalar import fixed, fixed_sql
 from aerostrata.operators import (
     energy, evaluate, features as ft, folds, freshness, labels, microbatch, prep, status,
 )
@@ -17,7 +17,7 @@ from aerostrata.plans import fleet
 from aerostrata.schema import (
     CORE_FIELDS, HEALTH_BOUNDS, RANGE_BOUNDS, ROLLING_FIELDS, STATS, SYSTEM_FIELDS, feature_names,
 )
-from aerostrata.session import configure, scratch_dir
+from aerostrata.session import configure, materialize, scratch_dir
 from aerostrata.sources import files, frames, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,12 +56,24 @@ def kept_features(spark: SparkSession, folder: str, by: list[str] | None = None)
     return ft.batch_features(observations(spark, folder), min_rows=microbatch.batch_size(), by=by)
 
 
-def indexed_features(spark: SparkSession, folder: str) -> DataFrame:
-    return folds.chrono_index(kept_features(spark, folder))
+def feature_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The kept features as a written table: a tenth of the input rows, read several times."""
+    return materialize(spark, kept_features(spark, folder), "features")
+
+
+def indexed_features(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """The feature table with its chronological index, and its row count."""
+    table = feature_table(spark, folder)
+    return folds.chrono_index(table), table.count()
+
+
+def split_features(spark: SparkSession, folder: str) -> DataFrame:
+    indexed, n = indexed_features(spark, folder)
+    return folds.temporal_split(indexed, n=n)
 
 
 def rounded(df: DataFrame, keep: list[str], values: list[str]) -> DataFrame:
-    return df.select(*keep, *[fixed(c).alias(c) for c in values])
+    return df.selectExpr(*[f"`{c}`" for c in keep], *[f"{fixed_sql(c)} AS `{c}`" for c in values])
 
 
 def wall_time(df: DataFrame, *columns: str) -> DataFrame:
@@ -113,7 +125,8 @@ def json_batch_scan(spark, folder):
     """Every batch written as one JSON array and read back."""
     path = scratch_dir(spark, "buffers")
     obs = observations(spark, folder).drop("event_id", "station_id")
-    rows = F.to_json(F.collect_list(F.struct(*obs.columns)))  # a batch has at most ten rows
+    # A batch has at most ten rows, so its list is small.
+    rows = F.to_json(F.collect_list(F.struct(*obs.columns)), sinks.TIME_FORMATS)
     obs.groupBy("batch_id").agg(rows.alias("value")).select("value").write.text(path)
     back = wall_time(files.read_batch_json(spark, path, multi_line=False), "ts", "measured_at")
     return rounded(
@@ -252,7 +265,7 @@ def temporal_features(spark, folder):
 @register
 def rolling_features(spark, folder):
     """Rolling means over the last three batches of the one global series."""
-    rolled = ft.rolling_features(kept_features(spark, folder))
+    rolled = ft.rolling_features(feature_table(spark, folder))
     return rounded(rolled, ["batch_id", "batch_ts"], [f"{f}_roll3" for f in ROLLING_FIELDS])
 
 
@@ -260,6 +273,7 @@ def rolling_features(spark, folder):
 def rolling_features_by_station(spark, folder):
     """Rolling means over the last three batches of each station."""
     kept = kept_features(spark, folder, by=["batch_id", "station_id"])
+    kept = materialize(spark, kept, "features")
     rolled = ft.rolling_features(kept, keys=["station_id"])
     return rounded(rolled, ["batch_id", "batch_ts"], [f"{f}_roll3" for f in ROLLING_FIELDS])
 
@@ -291,7 +305,7 @@ def label_counts(spark, folder):
 @register
 def inject_anomalies(spark, folder):
     """Range features after shifting two percent of the batches, with the true labels."""
-    injected = labels.inject_anomalies(kept_features(spark, folder))
+    injected = labels.inject_anomalies(feature_table(spark, folder))
     return rounded(injected, ["batch_id", "synthetic_anomaly"], RANGES)
 
 
@@ -300,22 +314,21 @@ def inject_anomalies(spark, folder):
 @register
 def chrono_index(spark, folder):
     """Global chronological position of each kept batch."""
-    return indexed_features(spark, folder).select("batch_id", "batch_ts", "chrono_idx")
+    indexed, _ = indexed_features(spark, folder)
+    return indexed.select("batch_id", "batch_ts", "chrono_idx")
 
 
 @register
 def temporal_split(spark, folder):
     """First 80 % train, rest test."""
-    split = folds.temporal_split(indexed_features(spark, folder))
-    return split.select("batch_id", "chrono_idx", "split")
+    return split_features(spark, folder).select("batch_id", "chrono_idx", "split")
 
 
 @register
 def time_series_folds(spark, folder):
     """Role of each batch in five expanding folds."""
-    return folds.time_series_folds(
-        indexed_features(spark, folder).select("batch_id", "chrono_idx")
-    )
+    indexed, n = indexed_features(spark, folder)
+    return folds.time_series_folds(indexed.select("batch_id", "chrono_idx"), n=n)
 
 
 def _train_means(split: DataFrame) -> DataFrame:
@@ -323,14 +336,14 @@ def _train_means(split: DataFrame) -> DataFrame:
 
 
 def _filled(spark, folder):
-    split = folds.temporal_split(indexed_features(spark, folder))
+    split = split_features(spark, folder)
     return prep.impute(split, FEATURES, _train_means(split))
 
 
 @register
 def impute_means(spark, folder):
     """Training means of all features."""
-    return rounded(_train_means(folds.temporal_split(indexed_features(spark, folder))), [], FEATURES)
+    return rounded(_train_means(split_features(spark, folder)), [], FEATURES)
 
 
 @register
@@ -342,9 +355,9 @@ def imputed_features(spark, folder):
 @register
 def scaled_features(spark, folder):
     """Features standardised with training means and population deviations."""
-    filled = _filled(spark, folder)
-    stats = prep.scaling(filled.filter(F.col("split") == "train"), FEATURES)
-    return rounded(prep.scale(filled, FEATURES, stats), ["batch_id"], FEATURES)
+    split = split_features(spark, folder)
+    stats = prep.fit_standardizer(split.filter(F.col("split") == "train"), FEATURES)
+    return rounded(prep.standardize(split, FEATURES, stats), ["batch_id"], FEATURES)
 
 
 @register
@@ -401,7 +414,8 @@ def classification_metrics(spark, folder):
 @register
 def cv_summary(spark, folder):
     """Fold means and deviations of the metrics over the validation ranges."""
-    parts = folds.time_series_folds(indexed_features(spark, folder))
+    indexed, n = indexed_features(spark, folder)
+    parts = folds.time_series_folds(indexed, n=n)
     validated = parts.filter(F.col("role") == "validate")
     reports = evaluate.classification_report(
         _health_predictions(validated, ["fold"]), ["model", "fold"]

@@ -8,6 +8,13 @@ from aerostrata.schema import MICROBATCHES, OBSERVATIONS, RUNTIME_METRICS
 from aerostrata.sources.tables import conform
 
 
+# Text times keep their microseconds.
+TIME_FORMATS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def append_observations(obs: DataFrame, path: str, loaded_at: Column | None = None) -> None:
     """Append rows with one load time for all of them, laid out by day."""
     stamp = F.current_timestamp() if loaded_at is None else loaded_at
@@ -34,7 +41,8 @@ def export_csv(obs: DataFrame, path: str, sort: list[str] | None = None) -> dict
     """
     seen = Observation("export")
     counted = obs.observe(seen, F.count(F.lit(1)).alias("rows"))
-    counted.orderBy(*(sort or ["batch_id", "row_in_batch"])).write.mode("overwrite").csv(
+    ordered = counted.orderBy(*(sort or ["batch_id", "row_in_batch"]))
+    ordered.write.mode("overwrite").options(**TIME_FORMATS).csv(
         path, header=True, nullValue="", emptyValue='""'
     )
     batches = obs.agg(F.count_distinct("batch_id")).first()[0]
@@ -61,8 +69,10 @@ def nested_as_text(df: DataFrame) -> DataFrame:
 def save_report(report: DataFrame, folder: str, name: str) -> tuple[str, str]:
     """Write a report as JSON and as CSV; missing values are empty in the CSV."""
     json_path, csv_path = f"{folder}/{name}.json", f"{folder}/{name}.csv"
-    report.write.mode("overwrite").option("ignoreNullFields", False).json(json_path)
-    nested_as_text(report).write.mode("overwrite").csv(csv_path, header=True, nullValue="", escape='"')
+    report.write.mode("overwrite").options(**TIME_FORMATS).json(json_path, ignoreNullFields=False)
+    nested_as_text(report).write.mode("overwrite").options(**TIME_FORMATS).csv(
+        csv_path, header=True, nullValue="", escape='"'
+    )
     return json_path, csv_path
 
 
