@@ -88,7 +88,9 @@ def _local_density(weighted: DataFrame, reach_of: DataFrame) -> DataFrame:
 
 class LocalOutlierFactor(Estimator, _LofParams, DefaultParamsReadable, DefaultParamsWritable):
     @keyword_only
-    def __init__(self, *, k=5, threshold=1.5, excludeSelf=True, blockRows=BLOCK_ROWS):
+    def __init__(
+        self, *, k=5, threshold=1.5, excludeSelf=True, blockRows=BLOCK_ROWS, featuresCol="features"
+    ):
         super().__init__()
         self._set(**self._input_kwargs)
 

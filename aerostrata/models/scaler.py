@@ -56,6 +56,13 @@ class FeatureScalerModel(Model, _ScalerParams, DefaultParamsReadable, DefaultPar
         """A copy that fills missing inputs by another rule."""
         return self.copy({self.missing: rule})
 
+    def filled(self, dataset: DataFrame) -> DataFrame:
+        """The raw columns with missing values filled from the training means."""
+        return dataset.withColumns({
+            c: F.expr(f"coalesce(CAST(`{c}` AS DOUBLE), {m!r}D)")
+            for c, m in zip(self.getInputCols(), self.getOrDefault("means"))
+        })
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         zero = self.getOrDefault("missing") == "zero"
         parts = [

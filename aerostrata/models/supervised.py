@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import time
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LogisticRegression, RandomForestClassifier,
 )
@@ -48,9 +50,16 @@ def classifier(name: str, n_train: int):
 
 
 def fit_classifiers(
-    train: DataFrame, columns: list[str], names: list[str] = CLASSIFIERS, label: str = "y"
+    train: DataFrame,
+    columns: list[str],
+    names: list[str] = CLASSIFIERS,
+    label: str = "y",
+    times_ms: dict[str, float] | None = None,
 ) -> dict[str, PipelineModel]:
-    """Scale once, then fit each learner on the cached vectors; every result is a pipeline."""
+    """Scale once, then fit each learner on the cached vectors; every result is a pipeline.
+
+    `times_ms` receives the fitting time of each learner.
+    """
     counts = class_counts(train, label)
     if not counts:
         raise ValueError("no training rows")
@@ -62,11 +71,14 @@ def fit_classifiers(
         .persist()
     )
     try:
-        n = sum(counts.values())
-        return {
-            name: PipelineModel([scaler, Pipeline(stages=[classifier(name, n)]).fit(vectors).stages[0]])
-            for name in names
-        }
+        fitted = {}
+        for name in names:
+            start = time.perf_counter()
+            model = classifier(name, sum(counts.values())).fit(vectors)
+            fitted[name] = PipelineModel([scaler, model])
+            if times_ms is not None:
+                times_ms[name] = (time.perf_counter() - start) * 1000.0
+        return fitted
     finally:
         vectors.unpersist()
 

@@ -70,9 +70,14 @@ def main() -> int:
             if name in sql:
                 problem = compare(spark, con, fn, sql[name], folder)
             else:
-                problem = None if fn(spark, folder).count() >= 0 else "?"
+                got = fn(spark, folder).collect()
+                problem = None if got else "no rows"
         except Exception as error:  # report and go on
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
+            cause = getattr(error, "java_exception", None)
+            while cause is not None:
+                print("  cause", cause.toString()[:1500])
+                cause = cause.getCause()
         bad += problem is not None
         print(f"{'ok ' if problem is None else 'BAD'} {'O' if name in sql else 'R'} {name} "
               f"{time.time() - start:.1f}s {(problem or '')[:2500]}", flush=True)
