@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
@@ -14,7 +13,7 @@ from pyspark.ml.util import (
 )
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from aerostrata.models.neighbors import BLOCK_ROWS, BlockIndex, build_index, knn_join
+from aerostrata.models.neighbors import BLOCK_ROWS, build_index, knn_join, load_index
 from aerostrata.session import scratch_dir
 
 _TABLES = ("points", "blocks", "pivots", "density")
@@ -96,10 +95,10 @@ class LocalOutlierFactor(Estimator, _LofParams, DefaultParamsReadable, DefaultPa
 
     def _fit(self, dataset: DataFrame) -> "LocalOutlierFactorModel":
         spark = dataset.sparkSession
-        index = build_index(_distinct(self._keyed(dataset)), self.getOrDefault("blockRows"))
+        root = scratch_dir(spark, "lof")
+        index = build_index(_distinct(self._keyed(dataset)), root, self.getOrDefault("blockRows"))
         total = index.points.agg(F.sum("m")).first()[0]
         k = max(1, min(self.getOrDefault("k"), total - 1))
-        root = scratch_dir(spark, "lof")
         own = index.points.select("vid", (F.col("m") - 1).alias("m"))
         weighted = _weighted(knn_join(index.points, index, k), own, k)
         weighted.write.parquet(f"{root}/neighbours")
@@ -109,11 +108,6 @@ class LocalOutlierFactor(Estimator, _LofParams, DefaultParamsReadable, DefaultPa
             _local_density(weighted, kdist), "vid"
         )
         density.write.parquet(f"{root}/density")
-        index.points.write.parquet(f"{root}/points")
-        index.blocks.write.parquet(f"{root}/blocks")
-        spark.createDataFrame(
-            [(i, [float(x) for x in p]) for i, p in enumerate(index.pivots)], "i int, v array<double>"
-        ).write.parquet(f"{root}/pivots")
         model = LocalOutlierFactorModel()
         self._copyValues(model)
         model._set(k=k, tables=root)
@@ -154,8 +148,7 @@ class LocalOutlierFactorModel(Model, _LofParams, MLWritable, MLReadable):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         spark, k = dataset.sparkSession, self.getOrDefault("k")
-        pivots = np.array([r["v"] for r in self._table(spark, "pivots").orderBy("i").collect()])
-        index = BlockIndex(self._table(spark, "points"), self._table(spark, "blocks"), pivots)
+        index = load_index(spark, self.getOrDefault("tables"))
         density = self._table(spark, "density")
         keyed = self._keyed(dataset)
         queries = _distinct(keyed)

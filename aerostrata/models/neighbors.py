@@ -64,8 +64,16 @@ def _part(parts: str):
     return F.pmod(F.xxhash64("vid", F.lit(1)), F.col(parts))
 
 
-def build_index(points: DataFrame, block_rows: int = BLOCK_ROWS) -> BlockIndex:
-    """Index distinct vectors (vid, v) with multiplicity m."""
+def load_index(spark: SparkSession, root: str) -> BlockIndex:
+    pivots = spark.read.parquet(f"{root}/pivots").collect()  # at most MAX_PIVOTS rows
+    return BlockIndex(
+        spark.read.parquet(f"{root}/points"), spark.read.parquet(f"{root}/blocks"),
+        np.array([r["v"] for r in sorted(pivots, key=lambda r: r["i"])]),
+    )
+
+
+def build_index(points: DataFrame, root: str, block_rows: int = BLOCK_ROWS) -> BlockIndex:
+    """Index distinct vectors (vid, v) with multiplicity m as tables below `root`."""
     spark = points.sparkSession
     points = materialize(spark, points, "points")
     n = points.count()
@@ -88,13 +96,17 @@ def build_index(points: DataFrame, block_rows: int = BLOCK_ROWS) -> BlockIndex:
         F.count(F.lit(1)).alias("n"), F.sum("m").alias("m"),
         F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.first("_rings").alias("_rings"),
     )
-    blocks = materialize(spark, rings, "blocks")
+    rings.write.parquet(f"{root}/blocks")
+    blocks = spark.read.parquet(f"{root}/blocks")
     indexed = (
         ringed.join(blocks.select("cell", "ring", "parts"), ["cell", "ring"])
         .withColumn("part", _part("parts"))
         .select("vid", "v", "m", *_BLOCK)
     )
-    return BlockIndex(materialize(spark, indexed, "indexed"), blocks, pivots)
+    indexed.write.parquet(f"{root}/points")
+    listed = [(i, [float(x) for x in p]) for i, p in enumerate(pivots)]
+    spark.createDataFrame(listed, "i int, v array<double>").write.parquet(f"{root}/pivots")
+    return load_index(spark, root)
 
 
 def _with_ring(placed: DataFrame, cells: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol, HasSeed
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
+from aerostrata.session import compact
+
 
 def cosine_features(points: np.ndarray, directions: np.ndarray, phases: np.ndarray) -> np.ndarray:
     return np.sqrt(2.0 / len(phases)) * np.cos(points @ directions.T + phases)
@@ -47,7 +49,8 @@ class OneClassSvm(Estimator, _SvmParams, DefaultParamsReadable, DefaultParamsWri
 
     def _fit(self, dataset: DataFrame) -> "OneClassSvmModel":
         nu, size = self.getOrDefault("nu"), self.getOrDefault("numFeatures")
-        rows = dataset.select(vector_to_array(self.getFeaturesCol()).alias("_x")).persist()
+        rows = dataset.select(vector_to_array(self.getFeaturesCol()).alias("_x"))
+        rows = compact(rows, rows.count()).persist()
         try:
             n, width, spread = _shape(rows)
             if n == 0:
@@ -57,14 +60,15 @@ class OneClassSvm(Estimator, _SvmParams, DefaultParamsReadable, DefaultParamsWri
             directions = rng.normal(0.0, np.sqrt(2.0 * gamma), (size, width))
             phases = rng.uniform(0.0, 2.0 * np.pi, size)
             # Start from the mean of all features: the solution for nu = 1.
-            w = _mean_of(rows, directions, phases, None, None)[0]
+            w, rho = _step(rows, directions, phases, None, None, nu)[0], None
             average, weight = np.zeros(size), 0.0
-            for step in range(1, self.getOrDefault("maxIter") + 1):
-                rho = _quantile(rows, directions, phases, w, nu)
-                mean, share = _mean_of(rows, directions, phases, w, rho)
-                rate = 1.0 / (step + 1)
-                w = (1.0 - rate) * w + rate * (share / nu) * mean
-                average, weight = average + step * w, weight + step
+            for step in range(self.getOrDefault("maxIter") + 1):
+                mean, share, next_rho = _step(rows, directions, phases, w, rho, nu)
+                if rho is not None:  # the first pass only finds an offset
+                    rate = 1.0 / (step + 1)
+                    w = (1.0 - rate) * w + rate * (share / nu) * mean
+                    average, weight = average + step * w, weight + step
+                rho = next_rho
             w = average / weight
             rho = _quantile(rows, directions, phases, w, nu)
         finally:
@@ -103,37 +107,51 @@ def _quantile(rows, directions, phases, w, nu) -> float:
     return float(scored.agg(F.percentile_approx("_f", nu, 10_000)).first()[0])
 
 
-def _mean_of(rows, directions, phases, w, rho) -> tuple[np.ndarray, float]:
-    """Mean feature vector of the rows below the offset (all rows without one), and their share.
+_BINS = 1 << 16
+
+
+def _step(rows, directions, phases, w, rho, nu) -> tuple[np.ndarray, float, float]:
+    """One pass: mean feature vector of the rows below `rho` (of all rows without weights), their
+    share, and the offset that leaves a share `nu` below it under the weights `w`.
 
-    Each task sends one partial sum per feature; the sums meet in a grouped aggregate.
+    Each task sends one partial sum per feature and a sparse histogram of its scores; both meet
+    in a grouped aggregate, so the driver sees a fixed number of rows.
     """
     size = len(phases)
+    reach = 1.0 if w is None else np.sqrt(2.0) * float(np.linalg.norm(w)) + 1e-12
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, hits, seen = np.zeros(size), 0, 0
+        total, hits = np.zeros(size), 0
+        bins = np.zeros(_BINS, dtype=np.int64)
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             z = cosine_features(np.stack(pdf["_x"].to_numpy()), directions, phases)
-            below = np.ones(len(z), dtype=bool) if w is None else z @ w <= rho
+            score = np.zeros(len(z)) if w is None else z @ w
+            below = np.ones(len(z), dtype=bool) if w is None or rho is None else score <= rho
             total += z[below].sum(axis=0)
-            hits, seen = hits + int(below.sum()), seen + len(z)
-        yield pd.DataFrame({
-            "at": np.arange(size), "total": total, "hits": hits, "seen": seen
-        })
+            hits += int(below.sum())
+            at = np.clip(((score + reach) / (2 * reach) * _BINS).astype(int), 0, _BINS - 1)
+            bins += np.bincount(at, minlength=_BINS)
+        used = np.flatnonzero(bins)
+        yield pd.DataFrame({"kind": 0, "at": np.arange(size), "total": total})
+        yield pd.DataFrame({"kind": 1, "at": used, "total": bins[used].astype(float)})
+        yield pd.DataFrame({"kind": 2, "at": [0], "total": [float(hits)]})
 
     summed = (
-        rows.mapInPandas(partial, "at int, total double, hits bigint, seen bigint")
-        .groupBy("at")
-        .agg(F.sum("total").alias("total"), F.sum("hits").alias("hits"), F.sum("seen").alias("seen"))
-        .orderBy("at")
-        .collect()
+        rows.mapInPandas(partial, "kind int, at int, total double")
+        .groupBy("kind", "at")
+        .agg(F.sum("total").alias("total"))
+        .toPandas()
+        .sort_values(["kind", "at"])
     )
-    hits, seen = summed[0]["hits"], summed[0]["seen"]
-    if hits == 0:
-        return np.zeros(size), 0.0
-    return np.array([r["total"] for r in summed]) / hits, hits / seen
+    sums = summed.loc[summed["kind"] == 0, "total"].to_numpy()
+    scores = summed[summed["kind"] == 1]
+    hits, seen = float(summed.loc[summed["kind"] == 2, "total"].sum()), scores["total"].sum()
+    upto = np.searchsorted(scores["total"].cumsum().to_numpy(), nu * seen)
+    edge = (scores["at"].iloc[min(int(upto), len(scores) - 1)] + 1) / _BINS
+    mean = sums / hits if hits else np.zeros(size)
+    return mean, hits / seen, float(edge * 2 * reach - reach)
 
 
 class OneClassSvmModel(Model, _SvmParams, DefaultParamsReadable, DefaultParamsWritable):

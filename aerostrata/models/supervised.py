@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from aerostrata.models.scaler import FeatureScaler
+from aerostrata.session import compact
 
 CLASSIFIERS = ["logistic_regression", "decision_tree", "random_forest"]
 
@@ -64,12 +65,9 @@ def fit_classifiers(
     if not counts:
         raise ValueError("no training rows")
     scaler = FeatureScaler(inputCols=columns).fit(train)
-    vectors = (
-        scaler.transform(train)
-        .select("features", F.col(label).cast("double").alias("y"))
-        .withColumn("weight", balanced_weight(counts))
-        .persist()
-    )
+    vectors = scaler.transform(train).select("features", F.col(label).cast("double").alias("y"))
+    vectors = vectors.withColumn("weight", balanced_weight(counts))
+    vectors = compact(vectors, sum(counts.values())).persist()
     try:
         fitted = {}
         for name in names:

@@ -68,3 +68,11 @@ def materialize(spark: SparkSession, df, name: str):
     path = scratch_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def compact(df, rows: int, rows_per_task: int = 50_000):
+    """Fewer partitions for an iterative job over few rows; large inputs keep theirs.
+
+    Each pass of such a job pays a fixed cost per partition, so a partition must be worth it.
+    """
+    return df.coalesce(max(1, -(-rows // rows_per_task)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from aerostrata.schema import MICROBATCHES, OBSERVATIONS, RUNTIME_METRICS
 from aerostrata.sources.tables import conform
@@ -39,14 +39,13 @@ def export_csv(obs: DataFrame, path: str, sort: list[str] | None = None) -> dict
 
     The sort is a range shuffle, so the export is many sorted files, in order by file name.
     """
-    seen = Observation("export")
-    counted = obs.observe(seen, F.count(F.lit(1)).alias("rows"))
-    ordered = counted.orderBy(*(sort or ["batch_id", "row_in_batch"]))
+    ordered = obs.orderBy(*(sort or ["batch_id", "row_in_batch"]))
     ordered.write.mode("overwrite").options(**TIME_FORMATS).csv(
         path, header=True, nullValue="", emptyValue='""'
     )
-    batches = obs.agg(F.count_distinct("batch_id")).first()[0]
-    return {"rows": seen.get["rows"], "batches": batches}
+    # Counters observed inside the write would also count the sampling pass of the sort.
+    rows, batches = obs.agg(F.count(F.lit(1)), F.count_distinct("batch_id")).first()
+    return {"rows": rows, "batches": batches}
 
 
 def union_reports(reports: list[DataFrame]) -> DataFrame:
