@@ -96,7 +96,7 @@ class IsolationForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultPa
                 (F.xxhash64(F.col("_id"), t, F.lit(seed)).bitwiseAND(F.lit((1 << 63) - 1))).alias("h"),
             ),
         )
-        limit = int(share * ((1 << 63) - 1))
+        limit = min(int(share * (1 << 63)), (1 << 63) - 1)
         drawn = rows.withColumn("_draws", F.filter(hashed, lambda d: d["h"] <= F.lit(limit)))
         candidates = drawn.filter(F.size("_draws") > 0).select("_id", "_x", F.inline("_draws"))
         first = Window.partitionBy("tree").orderBy("h", "_id")

@@ -58,12 +58,13 @@ def inject_anomalies(
     spread = features.agg(*[F.stddev_samp(c).alias(f"_sd_{c}") for c in columns])
     changed = marked.join(F.broadcast(spread)).join(F.broadcast(last))
     chosen = F.col("_digest") <= F.col("_last")
-    for i, c in enumerate(columns):
-        hit = chosen & (pick == i) & (F.col(f"_sd_{c}") > 0)
-        changed = changed.withColumn(
-            c, F.when(hit, F.col(c) + shift * F.col(f"_sd_{c}")).otherwise(F.col(c))
-        )
-    return changed.withColumn("synthetic_anomaly", chosen.cast("int")).select(
+    shifted = {
+        c: F.when(
+            chosen & (pick == i) & (F.col(f"_sd_{c}") > 0), F.col(c) + shift * F.col(f"_sd_{c}")
+        ).otherwise(F.col(c))
+        for i, c in enumerate(columns)
+    }
+    return changed.withColumns(shifted).withColumn("synthetic_anomaly", chosen.cast("int")).select(
         *features.columns, "synthetic_anomaly"
     )
 

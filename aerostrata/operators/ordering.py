@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from aerostrata.functions.scalar import micros
 
 _LAST = (1 << 63) - 1  # cell and instant of rows without a time: they sort last
-_HOT_SHARE = 10_000  # a hot cell holds more than 1/10,000 of all rows: fewer than 10,000 of them
+_HOT_SHARE = 100_000  # a hot cell holds more than 1/100,000 of all rows: fewer than 100,000 of them
 
 
 def add_position(
