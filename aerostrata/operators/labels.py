@@ -32,11 +32,18 @@ def anomaly_labels(features: DataFrame, bounds=RANGE_BOUNDS, out: str = "anomaly
     return features.withColumn(out, range_rule(features.columns, bounds))
 
 
-def label_counts(labelled: DataFrame, label: str) -> DataFrame:
-    """Rows per class and the number of classes (one class makes training trivial)."""
-    counts = labelled.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    classes = counts.agg(F.count(F.lit(1)).alias("n_classes"))
-    return counts.join(F.broadcast(classes))
+def label_counts(labelled: DataFrame, *labels: str) -> DataFrame:
+    """Rows per class and number of classes of each label (one class makes training trivial).
+
+    All labels are counted in one pass; the window only sees one row per label and class.
+    """
+    listed = F.array(*[
+        F.struct(F.lit(name).alias("task"), F.col(name).alias("label")) for name in labels
+    ])
+    counts = (
+        labelled.select(F.inline(listed)).groupBy("task", "label").agg(F.count(F.lit(1)).alias("n"))
+    )
+    return counts.withColumn("n_classes", F.count(F.lit(1)).over(Window.partitionBy("task")))
 
 
 def inject_anomalies(

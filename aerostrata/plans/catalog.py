@@ -296,10 +296,7 @@ def anomaly_labels(spark, folder):
 def label_counts(spark, folder):
     """Batches per class of both labels."""
     kept = labels.anomaly_labels(labels.health_labels(kept_features(spark, folder)))
-    return sinks.union_reports([
-        labels.label_counts(kept, task).select(F.lit(task).alias("task"), "label", "n", "n_classes")
-        for task in ("health_risk", "anomaly")
-    ])
+    return labels.label_counts(kept, "health_risk", "anomaly")
 
 
 @register

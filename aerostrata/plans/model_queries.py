@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
-from aerostrata.functions.scalar import fixed
 from aerostrata.models.registry import ModelRegistry, latest_by_name
 from aerostrata.models.scaler import FeatureScaler
 from aerostrata.models.supervised import confidence, fit_classifiers
-from aerostrata.operators import labels, microbatch
+from aerostrata.operators import labels
+from aerostrata.operators.folds import temporal_split
 from aerostrata.plans import fleet
 from aerostrata.plans.catalog import (
-    FEATURES, feature_table, observations, register, rounded, split_features,
+    FEATURES, feature_table, kept_features, observations, register, rounded,
 )
 from aerostrata.plans.scoring import score_batches, score_features
-from aerostrata.plans.study import anomaly_study, classification_study, enrich, fit_detector
+from aerostrata.plans.study import (
+    anomaly_study, chronological_table, classification_study, enrich, fit_detector,
+)
 from aerostrata.session import materialize, scratch_dir
 from aerostrata.streaming import CountWindow, observation_stream, scorer, write_metrics
 
@@ -23,7 +25,9 @@ from aerostrata.streaming import CountWindow, observation_stream, scorer, write_
 
 
 def _classifier_scores(spark, folder, name):
-    split = labels.health_labels(split_features(spark, folder), out="y")
+    labelled = labels.health_labels(kept_features(spark, folder))
+    table, n = chronological_table(labelled, "health_risk", 7, FEATURES)
+    split = temporal_split(table, n=n)
     model = fit_classifiers(split.filter("split = 'train'"), FEATURES, [name])[name]
     scored = model.transform(split.filter("split = 'test'"))
     return scored.select("batch_id", "y", F.col("prediction").cast("int").alias("prediction"),
