@@ -18,10 +18,12 @@ _RUNTIME = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Call sites on every column expression make wide plans slow to build.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+# Settings that only a new session can take: call sites recorded for every column expression make
+# wide plans slow to build.
+_AT_START = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session (cluster sizing stays as given)."""
@@ -36,7 +38,7 @@ def build_session(
 ) -> SparkSession:
     """Start a session for local use; on a cluster pass your own session to `configure`."""
     builder = SparkSession.builder.master(master).appName(app).config("spark.ui.enabled", "false")
-    for key, value in {**_RUNTIME, **(extra or {})}.items():
+    for key, value in {**_RUNTIME, **_AT_START, **(extra or {})}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
