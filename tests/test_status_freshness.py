@@ -95,3 +95,9 @@ def test_microbatch_helpers(spark):
     assert microbatch.closed_only(keyed, 4).count() == 8
     stored = microbatch.batch_headers(keyed).filter("batch_id = 's7-b00000000'")
     assert microbatch.new_batches_only(keyed, stored).count() == 5
+
+
+def test_check_of_a_table(spark):
+    _obs(spark, datetime(2024, 6, 10, 11)).createOrReplaceTempView("arrived")
+    row = freshness.check_table(spark, "arrived", "2024-06-10 12:00:00").first()
+    assert row["status"] == "fresh" and row["age_hours"] == 1.0
