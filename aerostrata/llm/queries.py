@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerostrata.llm import bpe, packing, simhash
+from aerostrata.llm import bpe, hmm, packing, quality, simhash, substring, warc
 from aerostrata.llm.common import prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,61 @@ def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoded(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.deduplicated(table(spark, folder, "documents"))
+
+
+@query
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
+# Five hex digits are four base-32 characters.
+ORACLE_SQL["op7_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (
+  SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS x FROM p
+),
+m AS (SELECT x, max(page_id) AS first_id FROM d GROUP BY x),
+c AS (
+  SELECT x, first_id, array_to_string(list_transform(range(8), lambda j: array_to_string(list_transform([15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(x, 1 + 5 * j, 5) AS INTEGER) >> s) & 31), 1)), '')), '') AS digest
+  FROM m
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM d JOIN c USING (x)
+"""
+
+ORACLE_SQL["op2_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+),
+p AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM p),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM f, range(20) AS r(j) WHERE again),
+v AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n
+  FROM v ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query
+def op4_hmm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm.scored(table(spark, folder, "documents"))
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.resampled(docs, quality.fit(docs, table(spark, folder, "labels")))
