@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerostrata.llm import bpe, hmm, packing, quality, simhash, substring, warc
+from aerostrata.llm import bpe, hmm, lines, packing, quality, simhash, substring, warc
 from aerostrata.llm.common import prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,8 @@ def op4_hmm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.resampled(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.deduplicated(table(spark, folder, "documents"))
