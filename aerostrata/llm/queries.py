@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerostrata.llm import bpe, hmm, lines, packing, quality, simhash, substring, warc
+from aerostrata.llm import bpe, hmm, lines, packing, pivots, quality, simhash, substring, warc
 from aerostrata.llm.common import prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,8 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.deduplicated(table(spark, folder, "documents"))
+
+
+@query
+def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.near_groups(table(spark, folder, "embeddings"))
