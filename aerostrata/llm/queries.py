@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerostrata.llm import bpe, hmm, lines, packing, pivots, quality, simhash, substring, warc
+from aerostrata.llm import bpe, hmm, lines, packing, pivots, quality, search, simhash, substring, warc
 from aerostrata.llm.common import prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,30 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return pivots.near_groups(table(spark, folder, "embeddings"))
+
+
+@query
+def op1_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return search.search(docs, search.query_set(docs))
+
+
+ORACLE_SQL["op1_topk_search"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws FROM documents
+),
+s AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM d),
+t AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS word FROM d) GROUP BY ALL),
+f AS (SELECT word, count(*) AS df FROM t GROUP BY word),
+p AS (
+  SELECT t.doc_id, t.word, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean)) AS w
+  FROM t JOIN f USING (word) JOIN d USING (doc_id), s
+),
+r AS (
+  SELECT q.doc_id AS query_id, p.doc_id, round(sum(q.tf * p.w), 6) AS score
+  FROM t AS q JOIN p USING (word) WHERE q.doc_id % 50 = 0 GROUP BY ALL
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r QUALIFY rank <= 10
+"""
