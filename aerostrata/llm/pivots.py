@@ -25,6 +25,7 @@ POINTS = 256         # reference points; their numbers fit in a byte
 NEAREST = 8
 SHARED = 3
 COSINE = 0.93
+CLOSE = 0.7          # largest cosine of two reference points
 SAMPLE = 4096        # vectors from which reference points are chosen; all vectors are indexed
 CHUNK = 512          # vectors of a long list that meet the same number of others in one tile
 _TRIPLES = np.array(list(combinations(range(NEAREST), SHARED)))
@@ -38,20 +39,25 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def reference_points(sample: np.ndarray, width: int, points: int = POINTS) -> np.ndarray:
-    """Vectors of the sample far from each other; random directions fill up a small sample."""
+    """Vectors of the sample far from each other, then random directions, none close to another one.
+
+    Close points would split a group of near copies by chance; where there is no room for `points`
+    of them, as in few dimensions, there are fewer.
+    """
     found = np.zeros((0, width))
-    if len(sample):
-        own = unit(np.unique(sample, axis=0))
-        chosen, near = [0], own @ own[0]
-        while len(chosen) < min(points, len(own)):
+    rng = np.random.default_rng(width)
+    for rows in (np.unique(sample, axis=0), rng.normal(size=(4 * points, width))):
+        if not len(rows):
+            continue
+        own = unit(rows)
+        near = np.max(own @ found.T, axis=1, initial=-2.0)
+        while len(found) < points:
             k = int(near.argmin())
-            if near[k] > 1 - 1e-9:
+            if near[k] > CLOSE:
                 break
-            chosen.append(k)
+            found = np.concatenate([found, own[k:k + 1]])
             near = np.maximum(near, own @ own[k])
-        found = own[chosen]
-    rest = np.random.default_rng(width).normal(size=(points - len(found), width))
-    return np.concatenate([found, unit(rest)]) if len(rest) else found
+    return np.concatenate([found, np.zeros((max(0, NEAREST - len(found)), width))])
 
 
 def nearest(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -65,13 +71,13 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def _described(points: dict[int, np.ndarray]):
+def _described(points_of: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             widths = np.array([len(v) for v in b.column(1)])
             for width in np.unique(widths):
                 own = b.filter(pa.array(widths == width))
-                near = points.get(int(width))
+                near = points_of.get(int(width))
                 if near is None:
                     near = reference_points(np.zeros((0, width)), int(width))
                 top = nearest(unit(_matrix(own.column(1))), near)
