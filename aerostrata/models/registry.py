@@ -16,14 +16,9 @@ def latest_by_name(entries: DataFrame, name: str | None = None) -> DataFrame:
     if name is not None:
         entries = entries.filter(F.col("model_name") == name)
     rest = [c for c in entries.columns if c not in ("model_name", "saved_at")]
-    return (
-        entries.groupBy("model_name")
-        .agg(
-            F.max("saved_at").alias("saved_at"),
-            *[F.max_by(c, "saved_at").alias(c) for c in rest],
-        )
-        .select("model_name", "saved_at", *rest)
-    )
+    # One struct, so that all columns come from one entry even among equal times.
+    latest = entries.groupBy("model_name").agg(F.max(F.struct("saved_at", *rest)).alias("_latest"))
+    return latest.select("model_name", *[F.col(f"_latest.{c}").alias(c) for c in ("saved_at", *rest)])
 
 
 class ModelRegistry:

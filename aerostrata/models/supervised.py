@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from aerostrata.models.scaler import FeatureScaler
-from aerostrata.session import compact
+from aerostrata.session import settled
 
 CLASSIFIERS = ["logistic_regression", "decision_tree", "random_forest"]
 
@@ -56,18 +56,21 @@ def fit_classifiers(
     names: list[str] = CLASSIFIERS,
     label: str = "y",
     times_ms: dict[str, float] | None = None,
+    key: str = "batch_id",
 ) -> dict[str, PipelineModel]:
     """Scale once, then fit each learner on the cached vectors; every result is a pipeline.
 
-    `times_ms` receives the fitting time of each learner.
+    `times_ms` receives the fitting time of each learner. `key` names a unique column; the models do
+    not depend on how the rows are laid out.
     """
     counts = class_counts(train, label)
     if not counts:
         raise ValueError("no training rows")
     scaler = FeatureScaler(inputCols=columns).fit(train)
-    vectors = scaler.transform(train).select("features", F.col(label).cast("double").alias("y"))
+    vectors = scaler.transform(train).select(key, "features", F.col(label).cast("double").alias("y"))
     vectors = vectors.withColumn("weight", balanced_weight(counts))
-    vectors = compact(vectors, sum(counts.values())).persist()
+    # The forest draws its samples by partition.
+    vectors = settled(vectors, sum(counts.values()), key).drop(key).persist()
     try:
         fitted = {}
         for name in names:

@@ -21,6 +21,18 @@ def batch_energy(metrics: DataFrame) -> DataFrame:
     )
 
 
+def read_times(metrics: DataFrame, parts: list[str] | None = None) -> DataFrame:
+    """Total time of the sensor reads per batch, in milliseconds; an absent or missing part counts as 0."""
+    names = parts or ["scd41_read_ms", "bme688_read_ms", "sps30_read_ms"]
+    present = [F.coalesce(F.col(c), F.lit(0.0)) for c in names if c in metrics.columns]
+    total = sum(present, F.lit(0.0))
+    return (
+        metrics.filter(F.col("batch_id").isNotNull())
+        .groupBy("batch_id")
+        .agg(F.sum(total).alias("total_sensor_read_ms"), F.count(F.lit(1)).alias("n_cycles"))
+    )
+
+
 def cumulative_energy(
     metrics: DataFrame,
     station: str = "station_id",

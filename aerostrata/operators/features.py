@@ -14,13 +14,14 @@ from aerostrata.schema import CORE_FIELDS, MISSING_LIMIT, ROLLING_FIELDS, ROLLIN
 def with_batch_keys(df: DataFrame, default_batch: str = "batch_0") -> DataFrame:
     """Give rows a batch id and a row number when the input has none.
 
-    Files carry no row order in Spark, so a missing row number follows `ts`.
+    Files carry no row order in Spark, so a missing row number follows `ts`; rows of one time, or
+    without one, are in the order of a hash of all their values.
     """
     if "batch_id" not in df.columns:
         df = df.withColumn("batch_id", F.lit(default_batch))
     if "row_in_batch" not in df.columns:
         df = add_position(
-            df, time="ts", tie=F.xxhash64("ts"), keys=["batch_id"], out="row_in_batch"
+            df, time="ts", tie=F.xxhash64(*df.columns), keys=["batch_id"], out="row_in_batch"
         )
     return df
 
@@ -88,6 +89,14 @@ def drop_sparse(
     return features.filter(missing_share(fields) <= F.lit(limit))
 
 
+def sparse_counts(
+    stats: DataFrame, fields: list[str] = CORE_FIELDS, limit: float = MISSING_LIMIT
+) -> DataFrame:
+    """How many batches `drop_sparse` keeps and drops: one row (kept, dropped)."""
+    keep = missing_share(fields) <= F.lit(limit)
+    return stats.agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("dropped"))
+
+
 def batch_features(
     obs: DataFrame,
     fields: list[str] = CORE_FIELDS,

@@ -76,7 +76,7 @@ def check_table(
             _now(now).alias("checked_at"),
             F.lit(None).cast("double").alias("age_hours"),
             F.lit("check_failed").alias("status"),
-            F.lit(str(error)[:2000]).alias("message"),
+            F.lit(str(error)).alias("message"),
         )
 
 

@@ -20,18 +20,37 @@ def batch_key(station: Column, number: Column) -> Column:
     )
 
 
+def known_station(df: DataFrame, station: str = "station_id") -> DataFrame:
+    """Observations of one device alone may name no station: it is station 0."""
+    if station not in df.columns:
+        return df.withColumn(station, F.lit(0).cast("bigint"))
+    default = F.lit(0).cast(df.schema[station].dataType)
+    return df.withColumn(station, F.coalesce(F.col(station), default))
+
+
 def assign_microbatches(
     df: DataFrame,
     time: str = "ts",
     tie: str = "event_id",
     station: str = "station_id",
     size: int | None = None,
+    closed: bool = False,
 ) -> DataFrame:
-    """Add `batch_id` and 0-based `row_in_batch`, per station in time order."""
+    """Add `batch_id` and 0-based `row_in_batch`, per station in time order.
+
+    With `closed`, a last incomplete batch of a station is left out; the station's number of rows,
+    which placement knows anyway, tells.
+    """
     n = batch_size(size)
-    positioned = add_position(df, time=time, tie=tie, keys=[station], out="_seq")
+    named = known_station(df, station)
+    positioned = add_position(
+        named, time=time, tie=tie, keys=[station], out="_seq", total="_rows" if closed else None
+    )
+    number = F.floor(F.col("_seq") / n)
+    if closed:
+        positioned = positioned.filter((number + 1) * n <= F.col("_rows")).drop("_rows")
     return positioned.withColumns({
-        "batch_id": batch_key(F.col(station), F.floor(F.col("_seq") / n)),
+        "batch_id": batch_key(F.col(station), number),
         "row_in_batch": (F.col("_seq") % n).cast("int"),
     }).drop("_seq")
 

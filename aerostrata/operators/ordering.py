@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aerostrata.functions.scalar import micros
+from aerostrata.session import scratch_dir
 
 _LAST = (1 << 63) - 1  # cell and instant of rows without a time: they sort last
-_HOT_SHARE = 100_000  # a hot cell holds more than 1/100,000 of all rows: fewer than 100,000 of them
+_WIDE = "decimal(20,0)"  # differences of longs without overflow
+_MOST_PARTS = 1024  # parts that one cut makes of a hot cell
 
 
 def add_position(
@@ -25,12 +27,15 @@ def add_position(
     out: str = "position",
     cell_seconds: int = 3600,
     min_hot_rows: int = 1_000_000,
+    total: str | None = None,
+    scratch: list[str] | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row in (time, tie, last_tie) order per `keys`.
 
     `tie` is an integer expression that orders rows of one instant; `last_tie` columns settle
-    what remains. Rows without a time come last. Costs: one narrow job and one narrow aggregate
-    over the order columns, and one shuffle of the rows.
+    what remains. Rows without a time come last. `total` adds the series' number of rows. Costs: one
+    narrow aggregate over the order columns, which is written (`scratch` gets its path), and one
+    shuffle of the rows.
     """
     tie_col = F.col(tie) if isinstance(tie, str) else tie
     t = F.coalesce(micros(time), F.lit(_LAST))
@@ -41,21 +46,26 @@ def add_position(
         "_cell": F.floor(t / F.lit(cell_seconds * 1_000_000)),
     })
     series = list(_series(keys))
-    rows = _cut_hot_cells(rows, series, min_hot_rows)
+    found: list[DataFrame] = []
+    rows = _cut_hot_cells(rows, series, min_hot_rows, found, [] if scratch is None else scratch)
 
     cell = [*series, "_cell", "_part"]
-    counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    counts = found[-1]
     # The running sum sees cells, not rows: their number is bounded by the time span covered.
     before = Window.partitionBy(*series).orderBy("_cell", "_part").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = counts.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    whole = [F.sum("_n").over(Window.partitionBy(*series)).alias("_total")] if total else []
+    offsets = counts.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"), *whole)
 
     in_cell = Window.partitionBy(*cell).orderBy("_t", "_tie", *(last_tie or []))
     return (
         rows.withColumn("_nth", F.row_number().over(in_cell) - 1)
         .join(offsets, cell, "inner")
-        .select(*df.columns, (F.col("_first") + F.col("_nth")).alias(out))
+        .select(
+            *df.columns, (F.col("_first") + F.col("_nth")).alias(out),
+            *([F.col("_total").alias(total)] if total else []),
+        )
     )
 
 
@@ -64,42 +74,50 @@ def _series(keys: list[str] | None) -> dict[str, Column]:
     return {"_series": F.struct(*keys)} if keys else {}
 
 
-def _cut_hot_cells(rows: DataFrame, series: list[str], min_hot_rows: int) -> DataFrame:
-    """Number the parts of cells that hold a large share of all rows.
+def _cut_hot_cells(
+    rows: DataFrame, series: list[str], min_hot_rows: int, found: list[DataFrame], scratch: list[str]
+) -> DataFrame:
+    """Number the parts of cells that hold more than `min_hot_rows` rows.
 
-    One narrow job looks at the cell counts. Without a hot cell, the normal case, nothing is
-    added to the plan. Otherwise each hot cell is cut evenly over the time it covers or, when it
-    is a single instant, over the tie. The list has fewer than `_HOT_SHARE` rows whatever the
-    size of the data, so it may be fetched and broadcast. Any cut gives the same positions.
+    Cell counts are written once; they are the check here and, in the normal case without a hot
+    cell, the offsets of the caller, who gets them in `found`. Hot parts are cut evenly over the
+    time they cover or, when they are a single instant, over the tie, and counted again, until no
+    part is too large or it cannot be cut: every cut sets the earliest and the latest apart. The
+    limit does not grow with the data. Any cut gives the same positions.
     """
-    cell = [*series, "_cell"]
-    cells = rows.groupBy(*cell).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_t").alias("_t0"), F.max("_t").alias("_t1"),
-        F.min("_tie").alias("_i0"), F.max("_tie").alias("_i1"),
-    )
-    largest, total = cells.agg(F.max("_n"), F.sum("_n")).first()
-    limit = max(min_hot_rows, (total or 0) / _HOT_SHARE)
-    if (largest or 0) <= limit:
-        return rows.withColumn("_part", F.lit(0).cast("bigint"))
-    one_instant = F.col("_t0") == F.col("_t1")
-    low = F.when(one_instant, F.col("_i0")).otherwise(F.col("_t0")).cast("double")
-    high = F.when(one_instant, F.col("_i1")).otherwise(F.col("_t1")).cast("double")
-    hot = cells.filter(F.col("_n") > limit).select(
-        *[F.col(c).alias(f"_hot{c}") for c in cell],
-        one_instant.alias("_by_tie"),
-        low.alias("_low"),
-        (F.ceil(F.col("_n") / F.lit(limit)) / (high - low + 1)).alias("_rate"),
-    )
-    found = rows.sparkSession.createDataFrame(hot.collect(), hot.schema)
-    same = [F.col(c) == F.col(f"_hot{c}") for c in cell]
-    value = F.when(F.col("_by_tie"), F.col("_tie")).otherwise(F.col("_t"))
-    part = F.floor((value - F.col("_low")) * F.col("_rate"))
-    return (
-        rows.join(F.broadcast(found), same, "left")
-        .withColumn("_part", F.coalesce(part, F.lit(0)))
-        .select(*rows.columns, "_part")
-    )
+    cell = [*series, "_cell", "_part"]
+    rows = rows.withColumn("_part", F.array().cast("array<int>"))
+    spark = rows.sparkSession
+    while True:
+        path = scratch_dir(spark, "cells")
+        scratch.append(path)
+        counts = rows.groupBy(*cell).agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.min("_t").alias("_t0"), F.max("_t").alias("_t1"),
+            F.min("_tie").alias("_i0"), F.max("_tie").alias("_i1"),
+        )
+        counts.write.parquet(path)
+        counts = spark.read.schema(counts.schema).parquet(path)
+        too_many = F.col("_n") > min_hot_rows
+        hot = counts.filter(too_many & ((F.col("_t0") < F.col("_t1")) | (F.col("_i0") < F.col("_i1"))))
+        if hot.isEmpty():
+            found.append(counts)
+            return rows
+        one_instant = F.col("_t0") == F.col("_t1")
+        cuts = hot.select(
+            *[F.col(c).alias(f"_hot{c}") for c in cell],
+            one_instant.alias("_by_tie"),
+            F.when(one_instant, F.col("_i0")).otherwise(F.col("_t0")).cast(_WIDE).alias("_low"),
+            F.when(one_instant, F.col("_i1")).otherwise(F.col("_t1")).cast(_WIDE).alias("_high"),
+            F.least(F.ceil(F.col("_n") / F.lit(min_hot_rows)) * 2, F.lit(_MOST_PARTS)).alias("_pieces"),
+        )
+        same = [F.col(c) == F.col(f"_hot{c}") for c in cell]
+        value = F.when(F.col("_by_tie"), F.col("_tie")).otherwise(F.col("_t")).cast(_WIDE)
+        # Differences are exact; only their share of the range is a double.
+        share = (value - F.col("_low")).cast("double") / ((F.col("_high") - F.col("_low")).cast("double") + 1)
+        part = F.floor(share * F.col("_pieces")).cast("int")
+        cut = F.when(F.col("_pieces").isNotNull(), F.concat("_part", F.array(part))).otherwise(F.col("_part"))
+        rows = rows.join(cuts, same, "left").withColumn("_part", cut).select(*rows.columns)
 
 
 def cut_series(

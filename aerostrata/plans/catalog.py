@@ -134,6 +134,44 @@ def json_batch_scan(spark, folder):
     )
 
 
+@register
+def json_batch_scan_damaged(spark, folder):
+    """Batches as JSON arrays, some cut off and some with text in a number field, read back.
+
+    A wrong value is missing and its row stays; an array that is cut off is one rejected row.
+    """
+    path = scratch_dir(spark, "buffers")
+    obs = observations(spark, folder).drop("event_id", "station_id")
+    rows = F.to_json(F.collect_list(F.struct(*obs.columns)), sinks.TIME_FORMATS)
+    number = F.substring_index("batch_id", "b", -1).cast("bigint") % 7
+    damaged = F.when(number == 3, F.expr("left(value, length(value) - 9)")).when(
+        number == 5, F.replace("value", F.lit('"row_in_batch":0'), F.lit('"row_in_batch":"first"'))
+    ).otherwise(F.col("value"))
+    obs.groupBy("batch_id").agg(rows.alias("value")).select(damaged.alias("value")).write.text(path)
+    back = wall_time(files.read_batch_json(spark, path, multi_line=False, keep_rejects=True), "ts", "measured_at")
+    keys = ["batch_id", "row_in_batch", "ts", "measured_at", *STATUSES]
+    return rounded(
+        back.withColumn("rejected", F.col("batch_id").isNull()), [*keys, "rejected"], CORE_FIELDS
+    )
+
+
+@register
+def csv_mixed_headers(spark, folder):
+    """Two exports in one folder, their columns in different orders, read back by name."""
+    path = scratch_dir(spark, "export")
+    obs = observations(spark, folder).drop("event_id")
+    even = F.col("row_in_batch") % 2 == 0
+    sinks.export_csv(obs.filter(even), f"{path}/even")
+    sinks.export_csv(obs.filter(~even).select(*reversed(obs.columns)), f"{path}/odd")
+    back = wall_time(files.read_csv(spark, f"{path}/*"), "ts", "measured_at")
+    return rounded(
+        back.withColumns({
+            "station_id": F.col("station_id").cast("bigint"), "rejected": F.col("_corrupt_record").isNotNull(),
+        }),
+        ["station_id", "batch_id", "row_in_batch", "ts", "measured_at", *STATUSES, "rejected"], CORE_FIELDS,
+    )
+
+
 @register
 def decode_frames(spark, folder):
     """Nine-byte sensor frames, one per event, decoded; every 13th frame is cut short."""
@@ -168,7 +206,7 @@ def microbatch_headers(spark, folder):
 @register
 def closed_batches_only(spark, folder):
     """Observations of full batches."""
-    return microbatch.closed_only(observations(spark, folder)).select(*_KEYS)
+    return fleet.observations(fleet.read_events(spark, folder), closed=True).select(*_KEYS)
 
 
 @register
@@ -231,11 +269,12 @@ def batch_features_system(spark, folder):
 
 @register
 def batch_features_fanout(spark, folder):
-    """System statistics where double metrics rows count twice (order among copies is open)."""
+    """System statistics where double metrics rows count twice; copies are in order of cycle_id."""
     obs = observations(spark, folder)
-    scan = tables.scan_with_metrics(obs, fleet.runtime_metrics(obs))
-    stats = ft.batch_statistics(scan, SYSTEM_FIELDS, rows="n_rows")
-    names = [f"{f}_{s}" for f in SYSTEM_FIELDS for s in STATS if s != "delta"]
+    scan = tables.scan_with_metrics(obs, fleet.runtime_metrics(obs), keep_cycle=True)
+    ordered = scan.withColumn("row_in_batch", F.struct("row_in_batch", "cycle_id"))
+    stats = ft.batch_statistics(ordered, SYSTEM_FIELDS, rows="n_rows")
+    names = [f"{f}_{s}" for f in SYSTEM_FIELDS for s in STATS]
     return rounded(stats, ["batch_id", "n_rows"], names)
 
 
@@ -247,6 +286,12 @@ def null_share_filter(spark, folder):
     return stats.select("batch_id", fixed(share).alias("null_share"), (share <= 0.5).alias("kept"))
 
 
+@register
+def sparse_batch_counts(spark, folder):
+    """Batches that the sparse filter keeps and drops."""
+    return ft.sparse_counts(ft.batch_statistics(observations(spark, folder)))
+
+
 @register
 def batch_timestamps(spark, folder):
     """Earliest time per batch."""
@@ -488,12 +533,23 @@ def batch_energy(spark, folder):
     return rounded(spent, ["batch_id", "n_cycles"], ["avg_power_w", "energy_wh"])
 
 
+@register
+def batch_read_times(spark, folder):
+    """Total sensor read time per batch; one reading in eleven lacks the second sensor's time."""
+    e = F.col("event_id")
+    metrics = fleet.runtime_metrics(observations(spark, folder)).withColumns({
+        "scd41_read_ms": (e % 7).cast("double"), "sps30_read_ms": (F.lit(2) * (e % 5)).cast("double"),
+        "bme688_read_ms": F.when(e % 11 != 0, (e % 13).cast("double")),
+    })
+    return rounded(energy.read_times(metrics), ["batch_id", "n_cycles"], ["total_sensor_read_ms"])
+
+
 @register
 def cumulative_energy(spark, folder):
     """Energy since the first reading of the station."""
     metrics = fleet.runtime_metrics(observations(spark, folder))
-    first = metrics.filter(F.col("cycle_id").startswith("c"))
-    return rounded(energy.cumulative_energy(first), ["event_id"], ["cumulative_energy_wh"])
+    latest = tables.latest_metrics(metrics)
+    return rounded(energy.cumulative_energy(latest), ["event_id"], ["cumulative_energy_wh"])
 
 
 @register

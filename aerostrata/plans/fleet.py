@@ -16,12 +16,12 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/events.parquet")
 
 
-def observations(events: DataFrame) -> DataFrame:
-    """Observations with batch keys, readings and sensor status."""
+def observations(events: DataFrame, closed: bool = False) -> DataFrame:
+    """Observations with batch keys, readings and sensor status; with `closed`, of full batches."""
     cycles = events.select(
         (F.col("user_id") % 8).alias("station_id"), "event_id", "ts", "event_type", "value"
     )
-    keyed = assign_microbatches(cycles, time="ts", tie="event_id", station="station_id")
+    keyed = assign_microbatches(cycles, time="ts", tie="event_id", station="station_id", closed=closed)
     return readings(keyed)
 
 

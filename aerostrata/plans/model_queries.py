@@ -14,7 +14,7 @@ from aerostrata.plans import fleet
 from aerostrata.plans.catalog import (
     FEATURES, feature_table, kept_features, observations, register, rounded,
 )
-from aerostrata.plans.scoring import score_batches, score_features
+from aerostrata.plans.scoring import ANOMALY, CLASSIFICATION, SCORED_DETECTORS, score_batches
 from aerostrata.plans.study import (
     anomaly_study, chronological_table, classification_study, enrich, fit_detector,
 )
@@ -120,8 +120,7 @@ def score_ocsvm(spark, folder):
 @register
 def anomaly_rule_report(spark, folder):
     """Detectors against the range rule; rows only."""
-    names = ["isolation_forest", "one_class_svm"]
-    return anomaly_study(feature_table(spark, folder), names=names).reports["rule"]
+    return anomaly_study(feature_table(spark, folder)).reports["rule"]
 
 
 @register
@@ -133,6 +132,20 @@ def anomaly_synthetic_report(spark, folder):
 # --- registry and scoring ----------------------------------------------------------------------
 
 
+def _all_models(table: DataFrame) -> dict[str, tuple[str, PipelineModel]]:
+    """All classifiers and all detectors that score new batches, fitted on a feature table."""
+    labelled = labels.health_labels(table, out="y")
+    models = {name: (CLASSIFICATION, m) for name, m in fit_classifiers(labelled, FEATURES).items()}
+    scaler = FeatureScaler(inputCols=FEATURES).fit(table)
+    vectors = scaler.transform(table).select("batch_id", "features").persist()
+    try:
+        for name in SCORED_DETECTORS:
+            models[name] = ANOMALY, PipelineModel([scaler, *fit_detector(name, vectors)])
+    finally:
+        vectors.unpersist()
+    return models
+
+
 @register
 def registry_latest(spark, folder):
     """Newest entry per exact model name; names with a suffix are other models."""
@@ -151,13 +164,8 @@ def score_new_batches(spark, folder):
     """Train and save models, load the latest ones and score all batches, open ones too."""
     obs = materialize(spark, observations(spark, folder), "observations")
     registry = ModelRegistry(spark, scratch_dir(spark, "models"))
-    table = feature_table(spark, folder)
-    labelled = labels.health_labels(table, out="y")
-    for name, model in fit_classifiers(labelled, FEATURES, ["decision_tree"]).items():
+    for name, (_, model) in _all_models(feature_table(spark, folder)).items():
         registry.save(model, name)
-    scaler = FeatureScaler(inputCols=FEATURES).fit(table)
-    stages = fit_detector("isolation_forest", scaler.transform(table))
-    registry.save(PipelineModel([scaler, *stages]), "isolation_forest")
     return score_batches(obs, registry)
 
 
@@ -165,8 +173,12 @@ def score_new_batches(spark, folder):
 
 
 def _cycle_stream(spark, folder) -> DataFrame:
+    """The event table as a stream of collection cycles."""
     schema = fleet.read_events(spark, folder).schema
-    events = observation_stream(spark, folder, schema, pathGlobFilter="events.parquet")
+    return _cycles(observation_stream(spark, folder, schema, pathGlobFilter="events.parquet"))
+
+
+def _cycles(events: DataFrame) -> DataFrame:
     return events.withColumns({
         "station_id": F.col("user_id") % 8, "measured_at": F.expr("ts + INTERVAL '2' SECOND"),
     })
@@ -176,9 +188,20 @@ def _drained(query) -> None:
     query.awaitTermination()
 
 
-def _windowed(spark, folder, **options) -> CountWindow:
+def _windowed(spark, folder, arrivals: int = 3, change=None, **options) -> CountWindow:
+    """A window that ran once for each part of the events, split by time; the state carries over."""
     window = CountWindow(scratch_dir(spark, "stream"), **options)
-    _drained(window.start(_cycle_stream(spark, folder), scratch_dir(spark, "progress")))
+    events = fleet.read_events(spark, folder)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        low = high = 0
+    part = F.least(F.floor((at - low) * arrivals / F.lit(high - low + 1)), F.lit(arrivals - 1))
+    inbox, progress = scratch_dir(spark, "inbox"), scratch_dir(spark, "progress")
+    for k in range(arrivals):
+        events.filter(part == k).write.mode("append").parquet(inbox)
+        cycles = _cycles(observation_stream(spark, inbox, events.schema))
+        _drained(window.start(change(cycles) if change else cycles, progress))
     return window
 
 
@@ -189,6 +212,14 @@ def stream_microbatches(spark, folder):
     return rows.select("station_id", "event_id", "batch_id", "row_in_batch")
 
 
+@register
+def stream_microbatches_no_station(spark, folder):
+    """The stream where every other cycle names no station: those are station 0."""
+    unnamed = F.when(F.col("event_id") % 2 != 0, F.col("station_id"))
+    window = _windowed(spark, folder, change=lambda cycles: cycles.withColumn("station_id", unnamed))
+    return window.observations(spark).select("station_id", "event_id", "batch_id", "row_in_batch")
+
+
 @register
 def stream_headers(spark, folder):
     """Headers the stream wrote for closed batches."""
@@ -212,12 +243,9 @@ def stream_metrics(spark, folder):
 
 @register
 def stream_scored(spark, folder):
-    """Batches scored as they close, by an isolation forest fitted before; rows only."""
-    table = feature_table(spark, folder)
-    scaler = FeatureScaler(inputCols=FEATURES).fit(table)
-    forest = PipelineModel([scaler, *fit_detector("isolation_forest", scaler.transform(table))])
+    """Batches scored as they close, by all models fitted before; rows only."""
+    models = _all_models(feature_table(spark, folder))
     path = scratch_dir(spark, "scores")
-    hook = scorer(lambda: {"isolation_forest": ("anomaly_detection", forest)}, path,
-                  readings=fleet.readings)
+    hook = scorer(lambda: models, path, readings=fleet.readings)
     _windowed(spark, folder, on_closed=hook)
     return spark.read.parquet(path).drop("epoch", "timestamp")

@@ -66,10 +66,10 @@ def fixed_as(columns: list[str]) -> str:
     return ", ".join(f"{fixed(c)} AS {c}" for c in columns)
 
 
-def stats_sql(source: str, fields: list[str] = CORE_FIELDS) -> str:
+def stats_sql(source: str, fields: list[str] = CORE_FIELDS, order: str = "row_in_batch") -> str:
     parts = []
     for f in fields:
-        k = f"CASE WHEN {f} IS NOT NULL THEN row_in_batch END"
+        k = f"CASE WHEN {f} IS NOT NULL THEN {order} END"
         parts.append(
             f"avg({f}) AS {f}_mean, min({f}) AS {f}_min, max({f}) AS {f}_max, "
             f"CASE WHEN count({f}) = 1 THEN 0.0 ELSE stddev_samp({f}) END AS {f}_std, "
@@ -283,6 +283,15 @@ def statements() -> dict[str, str]:
                                       "scd41_status, bme688_status, sps30_status FROM obs"),
         "json_batch_scan": query("obs", f"SELECT batch_id, row_in_batch, ts, measured_at, {core}, "
                                         "scd41_status, bme688_status, sps30_status FROM obs"),
+        "csv_mixed_headers": query("obs", f"SELECT station_id, batch_id, row_in_batch, ts, measured_at, {core}, "
+                                          "scd41_status, bme688_status, sps30_status, FALSE AS rejected FROM obs"),
+        "json_batch_scan_damaged": query("obs", f"""
+            SELECT batch_id, CASE WHEN n = 5 AND row_in_batch = 0 THEN NULL ELSE row_in_batch END AS row_in_batch,
+                   ts, measured_at, {core}, scd41_status, bme688_status, sps30_status, FALSE AS rejected
+            FROM (SELECT *, CAST(split_part(batch_id, 'b', 2) AS BIGINT) % 7 AS n FROM obs) WHERE n <> 3
+            UNION ALL BY NAME
+            SELECT NULL AS batch_id, TRUE AS rejected FROM (SELECT DISTINCT batch_id FROM obs)
+            WHERE CAST(split_part(batch_id, 'b', 2) AS BIGINT) % 7 = 3"""),
         "decode_frames": """
 SELECT event_id,
        CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(a AS DOUBLE) END AS co2_ppm,
@@ -315,12 +324,17 @@ FROM (SELECT event_id, event_id * 7 % 65536 AS a, event_id * 1009 % 65536 AS b,
             SELECT batch_id, {fixed_as(feature_names(CORE_FIELDS + SYSTEM_FIELDS))} FROM sys
             WHERE {share_sql(CORE_FIELDS + SYSTEM_FIELDS)} <= 0.5""").replace("\n, both_t", ",\nboth_t", 1),
         "batch_features_fanout": query("rtm", f""", both_t AS (
-            SELECT o.*, m.cpu_pct, m.ram_percent FROM obs o LEFT JOIN rtm m USING (batch_id, row_in_batch)),
-            sys AS ({stats_sql('both_t', SYSTEM_FIELDS)})
-            SELECT batch_id, n_rows, {fixed_as([f'{f}_{s}' for f in SYSTEM_FIELDS for s in STATS if s != 'delta'])}
+            SELECT o.*, m.cpu_pct, m.ram_percent, m.cycle_id FROM obs o LEFT JOIN rtm m USING (batch_id, row_in_batch)),
+            sys AS ({stats_sql('both_t', SYSTEM_FIELDS, "row_in_batch * 2 + CAST(cycle_id LIKE 'd%' AS INT)")})
+            SELECT batch_id, n_rows, {fixed_as([f'{f}_{s}' for f in SYSTEM_FIELDS for s in STATS])}
             FROM sys""").replace("\n, both_t", ",\nboth_t", 1),
         "null_share_filter": query(
             "stats", f"SELECT batch_id, {fixed(share_sql())} AS null_share, {share_sql()} <= 0.5 AS kept FROM stats"),
+        "sparse_batch_counts": query(
+            "stats", f"SELECT count(*) FILTER ({share_sql()} <= 0.5) AS kept, count(*) FILTER ({share_sql()} > 0.5) AS dropped FROM stats"),
+        "batch_read_times": query(
+            "rtm", f"SELECT batch_id, count(*) AS n_cycles, {fixed('sum(CAST(event_id % 7 + 2 * (event_id % 5) + CASE WHEN event_id % 11 <> 0 THEN event_id % 13 ELSE 0 END AS DOUBLE))')} "
+                   "AS total_sensor_read_ms FROM rtm GROUP BY batch_id"),
         "batch_timestamps": query("obs", "SELECT batch_id, min(ts) AS batch_ts FROM obs GROUP BY batch_id"),
         "temporal_features": query(
             "features", f"SELECT batch_id, {fixed('sin(2 * pi() * hour(batch_ts) / 24)')} AS hour_sin, "
@@ -391,7 +405,8 @@ FROM (SELECT event_id, event_id * 7 % 65536 AS a, event_id * 1009 % 65536 AS b,
             "rtm", f"SELECT event_id, {fixed('sum(step) OVER (PARTITION BY station_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)')} "
                    "AS cumulative_energy_wh FROM (SELECT station_id, event_id, ts, coalesce(power_w * (epoch_us(ts) - "
                    "lag(epoch_us(ts)) OVER (PARTITION BY station_id ORDER BY ts, event_id)) / 1e6 / 3600.0E0, 0.0) AS step "
-                   "FROM rtm WHERE cycle_id LIKE 'c%')"),
+                   "FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, row_in_batch ORDER BY ts DESC, cycle_id DESC) AS nth "
+                   "FROM rtm) WHERE nth = 1)"),
         "ingest_counts": query(
             "obs", "SELECT count(*) AS n_rows, count(DISTINCT batch_id) AS n_batches, "
                    "max(measured_at) AS last_measured_at FROM obs"),
@@ -402,6 +417,12 @@ SELECT model_name, max(saved_at) AS saved_at, max_by(path, saved_at) AS path FRO
         "stream_microbatches": query(
             "obs", "SELECT station_id, event_id, batch_id, row_in_batch FROM obs WHERE batch_id IN "
                    "(SELECT batch_id FROM obs GROUP BY batch_id HAVING count(*) >= 10)"),
+        "stream_microbatches_no_station": """
+SELECT CAST(CASE WHEN event_id % 2 = 0 THEN 0 ELSE station END AS BIGINT) AS station_id, event_id,
+       concat('s', CAST(s AS VARCHAR), '-b', lpad(CAST(seq // 10 AS VARCHAR), 8, '0')) AS batch_id, CAST(seq % 10 AS INT) AS row_in_batch
+FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY ts, event_id) - 1 AS seq, count(*) OVER (PARTITION BY s) AS n
+      FROM (SELECT event_id, ts, user_id % 8 AS station, CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id % 8 END AS s FROM events))
+WHERE (seq // 10 + 1) * 10 <= n""",
         "stream_headers": query(
             "obs", "SELECT batch_id, min_by(measured_at, row_in_batch) AS start_ts, "
                    "max_by(measured_at, row_in_batch) AS end_ts, CAST(count(*) AS INT) AS record_count "

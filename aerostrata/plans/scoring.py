@@ -11,6 +11,7 @@ from aerostrata.models.registry import ModelRegistry
 from aerostrata.models.scaler import FeatureScalerModel
 from aerostrata.models.supervised import CLASSIFIERS, confidence
 from aerostrata.operators.features import batch_features
+from aerostrata.session import materialize
 from aerostrata.sources.sinks import union_reports
 
 CLASSIFICATION, ANOMALY = "classification", "anomaly_detection"
@@ -77,5 +78,6 @@ def score_batches(
     min_rows: int | None = None,
 ) -> DataFrame:
     """Features of the observations and their scores; open batches count unless `min_rows` is set."""
-    features = batch_features(obs, min_rows=min_rows)
+    # Every model reads the features, and some start jobs of their own.
+    features = materialize(obs.sparkSession, batch_features(obs, min_rows=min_rows), "features")
     return score_features(features, latest_models(registry, task), missing)

@@ -72,9 +72,25 @@ def materialize(spark: SparkSession, df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of the shared folder that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def compact(df, rows: int, rows_per_task: int = 50_000):
     """Fewer partitions for an iterative job over few rows; large inputs keep theirs.
 
     Each pass of such a job pays a fixed cost per partition, so a partition must be worth it.
     """
     return df.coalesce(max(1, -(-rows // rows_per_task)))
+
+
+def settled(df, rows: int, key: str, rows_per_task: int = 50_000):
+    """A layout that depends on the rows alone: partitions by hash of a unique `key`, sorted by it.
+
+    For learners that draw by partition, so that the cluster's and the input's layout do not matter.
+    """
+    parts = max(1, -(-rows // rows_per_task))
+    return df.repartition(parts, key).sortWithinPartitions(key)

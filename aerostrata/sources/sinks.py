@@ -43,11 +43,17 @@ def export_csv(obs: DataFrame, path: str, sort: list[str] | None = None) -> dict
     ordered.write.mode("overwrite").options(**TIME_FORMATS).csv(
         path, header=True, nullValue="", emptyValue='""'
     )
-    # Counters observed inside the write would also count the sampling pass of the sort.
-    rows, batches = obs.agg(F.count(F.lit(1)), F.count_distinct("batch_id")).first()
+    # Counters observed inside the write would also count the sampling pass of the sort, and a second
+    # look at the input would compute it again; the files are at hand.
+    back = obs.sparkSession.read.schema(_as_text(obs)).csv(path, header=True, nullValue="", emptyValue='""')
+    rows, batches = back.agg(F.count(F.lit(1)), F.count_distinct("batch_id")).first()
     return {"rows": rows, "batches": batches}
 
 
+def _as_text(df: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in df.columns])
+
+
 def union_reports(reports: list[DataFrame]) -> DataFrame:
     """Stack reports; columns are the union of all, in the order first seen."""
     out = reports[0]

@@ -51,11 +51,20 @@ def scan_observations(observations: DataFrame, extra: list[str] | None = None) -
     return clean_nan(chosen)
 
 
+def latest_metrics(metrics: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The latest metrics row of every (batch_id, row_in_batch)."""
+    keys, order = ["batch_id", "row_in_batch"], ["ts", "cycle_id"]
+    rest = [c for c in columns or metrics.columns if c not in (*keys, *order)]
+    latest = metrics.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_latest"))
+    return latest.select(*keys, *[F.col(f"_latest.{c}").alias(c) for c in (*order, *rest)])
+
+
 def scan_with_metrics(
     observations: DataFrame,
     metrics: DataFrame,
     dedupe_metrics: bool = False,
     extra: list[str] | None = None,
+    keep_cycle: bool = False,
 ) -> DataFrame:
     """Observations left-joined to system load on (batch_id, row_in_batch).
 
@@ -65,11 +74,6 @@ def scan_with_metrics(
     keys = ["batch_id", "row_in_batch"]
     load = clean_nan(metrics.select(*keys, "ts", "cycle_id", *SYSTEM_FIELDS))
     if dedupe_metrics:
-        load = (
-            load.groupBy(*keys)
-            .agg(F.max(F.struct("ts", "cycle_id", *SYSTEM_FIELDS)).alias("_latest"))
-            .select(*keys, *[F.col(f"_latest.{c}").alias(c) for c in SYSTEM_FIELDS])
-        )
-    else:
-        load = load.select(*keys, *SYSTEM_FIELDS)
+        load = latest_metrics(load)
+    load = load.select(*keys, *SYSTEM_FIELDS, *["cycle_id"] * keep_cycle)
     return scan_observations(observations, extra).join(load, keys, "left")

@@ -18,8 +18,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from aerostrata.operators.microbatch import batch_headers, batch_key, batch_size
+from aerostrata.operators.microbatch import batch_headers, batch_key, batch_size, known_station
 from aerostrata.operators.ordering import add_position
+from aerostrata.session import remove
+from aerostrata.sources.files import CORRUPT
 
 
 @dataclass
@@ -46,8 +48,13 @@ class CountWindow:
             arrived.unpersist()
 
     def _process(self, spark: SparkSession, arrived: DataFrame, epoch: int, n: int) -> None:
-        s = self.station
-        placed = add_position(arrived, self.time, self.tie, keys=[s], out="_pos")
+        s, scratch = self.station, []
+        if CORRUPT in arrived.columns:
+            bad = F.col(CORRUPT).isNotNull()
+            arrived.filter(bad).select(CORRUPT).write.mode("overwrite").parquet(self._path("rejects", epoch))
+            arrived = arrived.filter(~bad).drop(CORRUPT)
+        arrived = known_station(arrived, s)
+        placed = add_position(arrived, self.time, self.tie, keys=[s], out="_pos", scratch=scratch)
         counts = arrived.groupBy(s).agg(F.count(F.lit(1)).alias("_new"))
         if epoch == 0:
             seen = spark.createDataFrame([], counts.withColumnRenamed("_new", "_seen").schema)
@@ -81,12 +88,18 @@ class CountWindow:
             self.on_closed(stored, epoch)
         headers = batch_headers(stored, loaded_at=F.current_timestamp())
         headers.write.mode("overwrite").parquet(self._path("headers", epoch))
+        # A replay needs the state of the epoch before, nothing older.
+        remove(spark, *scratch, *[self._path(t, epoch - 2) for t in ("counters", "carry") if epoch > 1])
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Run over a stream; the trigger defaults to draining what is available."""
         writer = stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
+    def rejects(self, spark: SparkSession) -> DataFrame:
+        """Messages that could not be read; they are in no batch."""
+        return spark.read.schema(f"{CORRUPT} string, epoch int").parquet(self._path("rejects")).drop("epoch")
+
     def headers(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self._path("headers")).drop("epoch")
 

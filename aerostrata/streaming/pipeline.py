@@ -13,6 +13,8 @@ from aerostrata.operators.features import batch_features
 from aerostrata.operators.freshness import freshness_status
 from aerostrata.plans.scoring import score_features
 from aerostrata.schema import OBSERVATIONS
+from aerostrata.session import materialize
+from aerostrata.sources.files import CORRUPT
 
 
 def observation_stream(
@@ -33,7 +35,11 @@ def observation_stream(
 def kafka_observations(
     spark: SparkSession, servers: str, topic: str, schema: T.StructType = OBSERVATIONS, **options: str
 ) -> DataFrame:
-    """Observations as JSON messages of a topic (needs the Kafka connector on the class path)."""
+    """Observations as JSON messages of a topic (needs the Kafka connector on the class path).
+
+    A message that cannot be read is a row with its text in `_corrupt_record`; the count window
+    writes those to a table of their own.
+    """
     raw = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
@@ -41,7 +47,18 @@ def kafka_observations(
         .options(**options)
         .load()
     )
-    return clean_nan(raw.select(F.from_json(F.col("value").cast("string"), schema).alias("o")).select("o.*"))
+    return parse_messages(raw, schema)
+
+
+def parse_messages(raw: DataFrame, schema: T.StructType = OBSERVATIONS) -> DataFrame:
+    """Fields of the JSON text in `value`, and in `_corrupt_record` the text of an unreadable one."""
+    text = F.col("value").cast("string")
+    wanted = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json(text, wanted, {"columnNameOfCorruptRecord": CORRUPT})
+    # No text at all is unreadable too.
+    bad = F.when(F.col("o").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.col(f"o.{CORRUPT}"))
+    read = raw.select(text.alias("value"), parsed.alias("o"))
+    return clean_nan(read.select(*[F.col(f"o.{f.name}") for f in schema], bad.alias(CORRUPT)))
 
 
 def drop_repeats(stream: DataFrame, keys: list[str], time: str = "ts", delay: str = "10 minutes") -> DataFrame:
@@ -74,7 +91,8 @@ def scorer(
 
     def score(closed: DataFrame, epoch: int) -> None:
         obs = readings(closed) if readings else closed
-        scored = score_features(batch_features(obs), models(), missing)
+        features = materialize(closed.sparkSession, batch_features(obs), "features")
+        scored = score_features(features, models(), missing)
         scored.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return score

@@ -75,3 +75,27 @@ def test_metrics_join_fans_out_or_not(spark):
     assert plain.count() == 4 and plain.first()["co2_ppm"] is None
     single = tables.scan_with_metrics(obs, metrics, dedupe_metrics=True).orderBy("row_in_batch").collect()
     assert [r["cpu_pct"] for r in single] == [20, 30, None]
+
+
+def test_damaged_json_loses_no_rows(spark, tmp_path):
+    (tmp_path / "good.json").write_text(json.dumps([{"ts": "2024-01-01T00:00:00+00:00", "co2_ppm": 1.0}]))
+    (tmp_path / "cell.json").write_text(json.dumps([{"co2_ppm": 2.0, "bme_temp_c": 1.5}, {"co2_ppm": "much", "bme_temp_c": 3.5}, {"co2_ppm": 4.0}]))
+    (tmp_path / "cut.json").write_text('[{"co2_ppm": 5.0}, {"co2_')
+    (tmp_path / "none.json").write_text("[]")
+    with pytest.raises(ValueError):
+        files.read_batch_json(spark, str(tmp_path))
+    rows = files.read_batch_json(spark, str(tmp_path), keep_rejects=True).collect()
+    kept = [r for r in rows if r["batch_id"] is not None]
+    assert sorted((r["co2_ppm"] or 0, r["bme_temp_c"] or 0) for r in kept) == [(0, 3.5), (1, 0), (2, 1.5), (4, 0)]
+    assert sorted(r["row_in_batch"] for r in kept) == [0, 1, 2, 3]
+    lost = [r for r in rows if r["batch_id"] is None]
+    assert len(lost) == 1 and "co2_" in lost[0]["_corrupt_record"]
+
+
+def test_csv_files_with_columns_in_another_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("batch_id,co2_ppm,scd_temp_c\na,500,20\n")
+    (tmp_path / "b.csv").write_text("batch_id,scd_temp_c,co2_ppm\nb,21,600\n")
+    (tmp_path / "c.csv").write_text("batch_id,co2_ppm\nc,700\n")
+    rows = files.read_csv(spark, str(tmp_path)).orderBy("batch_id").collect()
+    assert [(r["batch_id"], r["co2_ppm"], r["scd_temp_c"]) for r in rows] == [("a", 500, 20), ("b", 600, 21), ("c", 700, None)]
+    assert all(r["_corrupt_record"] is None for r in rows)

@@ -186,3 +186,29 @@ def test_registry_uses_the_exact_name(spark, tmp_path):
     assert model.stages[0].getOrDefault("missing") == "zero"
     with pytest.raises(ValueError):
         latest_models(registry)
+
+
+def test_classifiers_do_not_depend_on_the_layout(spark):
+    from aerostrata.models.supervised import CLASSIFIERS, fit_classifiers
+
+    rows = spark.range(400).selectExpr(
+        "concat('b', id) AS batch_id", "CAST(id % 17 AS DOUBLE) AS a", "CAST((id * 7) % 23 AS DOUBLE) AS b",
+        "CAST((id * 13) % 11 > 4 AS INT) AS y")
+    scores = []
+    for parts in (1, 5):
+        models = fit_classifiers(rows.repartition(parts), ["a", "b"])
+        scores.append({
+            name: {r["batch_id"]: r["probability"][1] for r in models[name].transform(rows).collect()} for name in CLASSIFIERS
+        })
+    for name in ("decision_tree", "random_forest"):
+        assert scores[0][name] == scores[1][name]
+    for k, v in scores[0]["logistic_regression"].items():
+        assert abs(v - scores[1]["logistic_regression"][k]) < 1e-6
+
+
+def test_latest_entry_is_one_entry(spark):
+    from aerostrata.models.registry import latest_by_name
+
+    entries = spark.sql("SELECT 'm' model_name, TIMESTAMP'2024-01-01' saved_at, p path, x metadata FROM VALUES ('a', 'z'), ('b', 'y') AS t(p, x)")
+    row = latest_by_name(entries).first()
+    assert (row["path"], row["metadata"]) == ("b", "y")

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from aerostrata.operators import ordering
 from aerostrata.operators.ordering import add_position, cut_series, running_sum
 
 START = datetime(2024, 1, 1)
@@ -86,3 +87,31 @@ def test_running_sum_and_look_back(spark):
     guests = sorted(r["pos"] for r in sliced.filter("_guest").collect())
     assert guests == [8, 9, 18, 19, 28, 29, 38, 39, 48, 49]
     assert sliced.filter("NOT _guest").count() == 57
+
+
+def test_a_hot_instant_beside_another_row_is_cut(spark):
+    hot = spark.range(5000).select(F.timestamp_seconds(F.lit(0)).alias("ts"), (F.col("id") * 977 % 5000).alias("id"))
+    other = spark.sql("SELECT timestamp_seconds(1800) AS ts, -5L AS id")
+    far = spark.sql("SELECT CAST(NULL AS TIMESTAMP) AS ts, 7L AS id UNION ALL SELECT NULL, 9223372036854775807L UNION ALL SELECT NULL, -9223372036854775808L")
+    df = hot.unionAll(other).unionAll(far)
+    seen = {}
+    original = ordering._cut_hot_cells
+
+    def spy(*args):
+        seen["rows"] = original(*args)
+        return seen["rows"]
+
+    ordering._cut_hot_cells = spy
+    try:
+        placed = add_position(df, "ts", "id", min_hot_rows=100)
+    finally:
+        ordering._cut_hot_cells = original
+    assert max(r["count"] for r in seen["rows"].groupBy("_cell", "_part").count().collect()) <= 100
+    rows = [(r["ts"] is None, r["ts"].timestamp() if r["ts"] else 0, r["id"], r["position"]) for r in placed.collect()]
+    assert [r[3] for r in sorted(rows)] == list(range(5004))
+
+
+def test_rows_equal_in_time_and_tie_end_the_cutting(spark):
+    df = spark.range(300).select(F.timestamp_seconds(F.lit(5)).alias("ts"), F.lit(1).alias("tie"), "id")
+    placed = add_position(df, "ts", "tie", last_tie=["id"], min_hot_rows=10, total="n")
+    assert sorted((r["id"], r["position"], r["n"]) for r in placed.collect()) == [(i, i, 300) for i in range(300)]

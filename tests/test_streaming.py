@@ -78,3 +78,31 @@ def test_metrics_and_repeats_and_watch(spark, tmp_path):
     watch_freshness(stream, lambda: _cycles(spark, 0, 3), str(tmp_path / "w"), str(tmp_path / "p2"),
                     availableNow=True).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "w")).count() == 1
+
+
+def test_unreadable_messages_are_kept_apart(spark, tmp_path):
+    from aerostrata.streaming.pipeline import parse_messages
+
+    wanted = "event_id long, ts timestamp, measured_at timestamp"
+    texts = [f'{{"event_id": {i}, "ts": "2024-01-01T00:00:{i:02d}Z", "measured_at": "2024-01-01T00:00:{i:02d}Z"}}' for i in range(12)]
+    raw = spark.createDataFrame([(t,) for t in [*texts, '{"event_id": 9', "no json", None]], "value string")
+    from pyspark.sql.types import _parse_datatype_string
+
+    rows = parse_messages(raw, _parse_datatype_string(wanted))
+    window = CountWindow(str(tmp_path / "w"))
+    window(rows, 0)
+    assert window.observations(spark).count() == 10
+    assert sorted(r[0] for r in window.rejects(spark).collect()) == ["", "no json", '{"event_id": 9']
+    assert {r["station_id"] for r in window.observations(spark).collect()} == {0}
+
+
+def test_old_state_is_removed_and_rows_without_a_station_count(spark, tmp_path):
+    window = CountWindow(str(tmp_path / "w"))
+    for epoch in range(4):
+        window(_cycles(spark, epoch * 7, epoch * 7 + 7).withColumn("station_id", F.lit(None).cast("bigint")), epoch)
+    assert window.observations(spark).count() == 20
+    import os
+
+    assert sorted(os.listdir(tmp_path / "w" / "carry")) == ["epoch=2", "epoch=3"]
+    window(_cycles(spark, 21, 28).withColumn("station_id", F.lit(None).cast("bigint")), 3)  # a replay
+    assert window.observations(spark).count() == 20
