@@ -476,9 +476,10 @@ def mcnemar_pairs(spark, folder):
 
 @register
 def mcnemar_p_values(spark, folder):
-    """The same pairs with p-values; SQL engines without an error function cannot check it."""
+    """The same pairs with p-values."""
     predictions = _health_predictions(kept_features(spark, folder), ["batch_id"])
-    return evaluate.mcnemar(predictions, list(_FACTORS), sample="batch_id")
+    tested = evaluate.mcnemar(predictions, list(_FACTORS), sample="batch_id")
+    return rounded(tested, ["model1", "model2", "b", "c", "significant"], ["statistic", "p_value"])
 
 
 @register

@@ -151,6 +151,19 @@ def query(blocks: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def _p_values() -> str:
+    """The tail 1 - erf(z), z = sqrt(statistic / 2), by the series of positive terms of erf."""
+    term = (
+        "exp(2 * k * ln(2.0E0) + (2 * k + 1) * ln(z) - lgamma(2 * k + 2) + lgamma(k + 1) - z * z)"
+    )
+    return f"""
+SELECT model1, model2, b, c, statistic, {fixed('p')} AS p_value, p < 0.05 AS significant FROM (
+  SELECT *, CASE WHEN b + c = 0 THEN 1.0E0 WHEN z = 0 THEN 1.0E0 WHEN z > 6 THEN 0.0E0
+    ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(200), lambda k: {term})) END AS p
+  FROM (SELECT *, CASE WHEN b + c = 0 THEN 0.0E0 ELSE abs(abs(b - c) - 1) / sqrt(2.0E0 * (b + c)) END AS z
+        FROM ({_mcnemar()})))"""
+
+
 def _ratio(a: str, b: str) -> str:
     return f"CASE WHEN {b} = 0 THEN 0.0 ELSE ({a}) / CAST({b} AS DOUBLE) END"
 
@@ -372,6 +385,7 @@ FROM (SELECT event_id, event_id * 7 % 65536 AS a, event_id * 1009 % 65536 AS b,
             + f"(chrono_idx - (total - 5 * {indexed_total})) // {indexed_total} AS fold FROM predictions p "
             + f"WHERE chrono_idx >= total - 5 * {indexed_total}) GROUP BY model, fold)) GROUP BY model"),
         "mcnemar_pairs": _mcnemar(),
+        "mcnemar_p_values": _p_values(),
         "anomaly_metrics": query(
             "features", "SELECT model, n_samples, tp + fp AS n_anomalies_detected, tp + fn AS n_true_anomalies, "
             + ", ".join(f"{fixed(_METRICS[m])} AS {m}" for m in ("precision", "recall", "f1"))
