@@ -95,6 +95,26 @@ def link(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
+_SLOTS = 1 << 18
+
+
+def likely(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of `df` whose SQL expression `key`, a long, may be among the longs `key` of `keys`.
+
+    A bitmap of `_SLOTS` x 64 bits goes to all tasks, at most `_SLOTS` rows of two longs whatever the
+    input; rows that meet no set bit need no shuffle. It only spares work: a join has to follow.
+    """
+    def slot(k: str) -> str:
+        return f"pmod(shiftright({k}, 6), {_SLOTS}L)"
+
+    bits = keys.groupBy(F.expr(slot("key")).alias("_bitmap_slot")).agg(
+        F.expr("bit_or(shiftleft(1L, int(key & 63)))").alias("_bitmap_bits")
+    )
+    keyed = df.withColumn("_bitmap_key", F.expr(key)).withColumn("_bitmap_slot", F.expr(slot("_bitmap_key")))
+    met = keyed.join(F.broadcast(bits), "_bitmap_slot").filter("shiftright(_bitmap_bits, int(_bitmap_key & 63)) & 1 = 1")
+    return met.select(*df.columns)
+
+
 def _round(edges: DataFrame, large: bool) -> DataFrame:
     """One star step: the larger (or smaller) neighbours of a node link to its smallest one."""
     if large:
@@ -130,6 +150,6 @@ def components(edges: DataFrame) -> tuple[DataFrame, str]:
 
 
 __all__ = [
-    "components", "drop", "fresh_id", "link", "materialize", "pieces_of", "prepared",
+    "components", "drop", "fresh_id", "likely", "link", "materialize", "pieces_of", "prepared",
     "whole_groups", "written",
 ]
