@@ -12,9 +12,11 @@ their rank among the pieces of their length.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,58 +26,120 @@ from aerostrata.llm.common import fresh_id, prepared, written
 
 SIZE = 4096
 END_ID = 1
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 600_000
+_CLOSING = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'  # ASCII signs but the apostrophe, which begins tokens like 's
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block long, rank_in_block long"
 
 
+class _Numbers(dict):
+    """Numbers for words in the order they are met; `new` lists those to be learned."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordIds:
     """Token ids of whole texts through a table of the words met so far.
 
     For a tokenizer that drops white space and never lets a token cross it, the ids of a text are
-    those of its parts between ASCII white space. Each distinct part is tokenized once.
+    those of its parts between ASCII white space. Each distinct part is tokenized once. Parts are
+    mostly letters and closing signs, which the tokenizer keeps apart and takes in lower case, so
+    such a part is put together from its letters and its signs. Many letter groups are tokenized as
+    one text; the tokens that end a word tell them apart.
     """
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark shares out the cores
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(spec)
+        self.model = Tokenizer.from_str(spec)  # for letter groups that need no normalizing
+        self.model.normalizer = None
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        ])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Numbers()
+        self.known: dict[bytes, list[int]] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.first = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def _tokenize(self, parts: list[bytes]) -> None:
+        """Ids of new letter groups and other parts into `known`."""
+        known, plain, other = self.known, [], []
+        for p in parts:
+            text = p.decode()
+            ready = text.isalpha() and (text.isascii() or text == text.lower() and unicodedata.is_normalized("NFC", text))
+            (plain if ready else other).append(p)
+        groups = [plain[i:i + 64] for i in range(0, len(plain), 64)]
+        found = self.model.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, found):
+            ids = e.ids
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group):
+                start = 0
+                for p, end in zip(group, ends.tolist()):
+                    known[p] = ids[start:end]
+                    start = end
+            else:
+                other += group
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in other], add_special_tokens=False)
+        for p, e in zip(other, found):
+            known[p] = e.ids
+
     def learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [e.ids for e in found]
+        known, split = self.known, []
+        for w in words:
+            low = w.lower()
+            letters = low.rstrip(_CLOSING)
+            if letters and len(letters) < len(low) and letters.decode().lower().isalpha():
+                split.append((letters, low[len(letters):]))
+            else:
+                split.append((low, b""))
+        new = dict.fromkeys(p for pair in split for p in pair if p and p not in known)
+        self._tokenize(list(new))
+        known[b""] = []
+        ids = [known[a] + known[b] if b else known[a] for a, b in split]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, n = int(sizes.sum()), len(self.index)
+        total, n = int(sizes.sum()), len(self.index) - len(words)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(words) > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
             self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        self.flat[self.used:self.used + total] = [i for own in ids for i in own]
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.count[n:n + len(words)] = sizes
         self.first[n:n + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
-        self.index.update(zip(words, range(n, n + len(words))))
 
-    def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):  # a special token may touch a word
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > _KEPT_WORDS:
             self.clear()
-        words = text.encode().split()
-        new = set(words).difference(self.index)
-        if new:
-            self.learn(list(new))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        found: list[np.ndarray] = []
+        for text in texts:
+            if any(s in text for s in self.special):  # a special token may touch a word
+                found.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+            else:
+                words = text.encode().split()
+                found.append(np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)))
+        self.learn(self.index.new)
+        self.index.new = []
+        return [at if at.dtype == np.uint32 else self._gather(at) for at in found]
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
         sizes = self.count[at]
         shift = self.first[at] - (np.cumsum(sizes) - sizes)
         return self.flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
@@ -90,8 +154,8 @@ def tokenized(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = E
         worker, block, seen = WordIds(spec.value), fresh_id(), Counter()
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.append(worker.encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+            for doc_id, found in zip(b.column(0).to_pylist(), worker.encode([t or "" for t in b.column(1).to_pylist()])):
+                ids = np.append(found, np.uint32(end_id)).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), size)):
                     own = ids[start:start + size]
                     rows.append((doc_id, piece, start, len(own), zlib.crc32(own.tobytes()), block, seen[len(own)]))
