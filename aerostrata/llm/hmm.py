@@ -28,7 +28,8 @@ ROUNDS = 3
 SEGMENT = 128            # training sequences are cut to this many tokens; scoring never cuts
 SEEDS = 256              # training documents from which the first model is drawn; rounds see them all
 _PRIOR = 1000.0          # weight of the corpus distribution in a state's emissions, in tokens
-_BLOCK_TOKENS = 1 << 18
+_BLOCK_TOKENS = 1 << 20  # the larger a block, the fewer times a word is sent
+_TOGETHER = 1 << 11     # segments that go through the recursions together
 END = ""                 # the end token; no word is empty
 _BLOCK = "block long, doc_ids array<long>, held binary, sizes binary, seq binary, words array<string>, counts array<long>"
 
@@ -167,9 +168,12 @@ def _round(blocks: DataFrame, model: Model) -> DataFrame:
                 parts = -(-sizes // SEGMENT)
                 which = np.repeat(np.arange(len(sizes)), parts)
                 number = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-                if len(which):
+                lengths = np.minimum(SEGMENT, sizes[which] - number * SEGMENT)
+                order = np.argsort(-lengths, kind="stable")
+                for lo in range(0, len(order), _TOGETHER):
+                    at = order[lo:lo + _TOGETHER]
                     emissions, moves, first = expected_counts(
-                        classes, starts[which] + number * SEGMENT, np.minimum(SEGMENT, sizes[which] - number * SEGMENT), number == 0, own
+                        classes, starts[which[at]] + number[at] * SEGMENT, lengths[at], number[at] == 0, own
                     )
                     total += np.concatenate([emissions, moves, first[None]])
         full = np.flatnonzero(total.any(axis=1))
