@@ -180,7 +180,7 @@ def _grouped(docs: DataFrame, width: int, most: int) -> DataFrame:
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(ids, "root").select("fp", "component_id"), "fp")
+    return prints.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_groups(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame:
@@ -197,12 +197,18 @@ def near_groups(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = 3, most: int = 3) -> DataFrame:
-    """`docs` without the rows whose near-duplicate group has a smaller doc_id.
+    """One row of `docs` of each near-duplicate group, with all columns.
 
-    All columns are kept. Equal rows stay or go together; a row without a doc_id stays only in a
-    group without ids.
+    It is that of the smallest doc_id, a null one last, then of the smallest hash of the text; of rows
+    equal in both, any one.
     """
-    gone = _grouped(docs, width, most).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct().hint("shuffle_hash")
-    own = docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_th"])
-    return docs.join(gone, own, "left_anti")
+    rows = _grouped(docs, width, most).groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("copies"))
+    stays = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "copies")).alias("s"))
+    stays = stays.select(F.col("s.doc_id").alias("_near_doc"), F.col("s.th").alias("_near_hash"), F.col("s.copies").alias("_near_copies"))
+    stays, _ = written(stays, "near-kept")
+    stays = stays.hint("shuffle_hash")
+    own = docs["doc_id"].cast("long").eqNullSafe(stays["_near_doc"]) & (F.xxhash64(docs["text"]) == stays["_near_hash"])
+    kept = docs.join(stays, own)
+    # An aggregate with map-side partials, so that a row repeated very often is not one task's.
+    once = kept.filter("_near_copies > 1").dropDuplicates(["_near_doc", "_near_hash"])
+    return kept.filter("_near_copies = 1").unionAll(once).select(*[F.col(f"`{c}`") for c in docs.columns])
