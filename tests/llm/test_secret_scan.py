@@ -79,7 +79,7 @@ def test_battery_is_even_on_random_strings_and_near_zero_on_prose():
         _, p, case = secret_scan.battery(letters[rng.integers(0, 62, (20_000, n))])
         assert (case >= 0).all() and 0.85 < (p > 0.1).mean() <= 1 and 0.35 < (p > 0.5).mean() < 0.75
     text = prose(random.Random(23), 20_000).replace(" ", "").encode()
-    rows = np.frombuffer(text[: len(text) // 40 * 40], np.uint8).reshape(-1, 40)
+    rows = np.frombuffer(text[: len(text) // 64 * 64], np.uint8).reshape(-1, 64)
     assert (secret_scan.battery(rows)[1] > 0.05).mean() < 0.05
 
 
