@@ -14,9 +14,9 @@ from pyspark.ml.util import (
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from aerostrata.models.neighbors import BLOCK_ROWS, build_index, knn_join, load_index
-from aerostrata.session import scratch_dir
+from aerostrata.session import materialize, scratch_dir
 
-_TABLES = ("points", "blocks", "pivots", "density")
+_TABLES = ("points", "nodes", "near", "density")
 
 
 class _LofParams(HasFeaturesCol, HasPredictionCol):
@@ -100,9 +100,8 @@ class LocalOutlierFactor(Estimator, _LofParams, DefaultParamsReadable, DefaultPa
         total = index.points.agg(F.sum("m")).first()[0]
         k = max(1, min(self.getOrDefault("k"), total - 1))
         own = index.points.select("vid", (F.col("m") - 1).alias("m"))
-        weighted = _weighted(knn_join(index.points, index, k), own, k)
-        weighted.write.parquet(f"{root}/neighbours")
-        weighted = spark.read.parquet(f"{root}/neighbours")
+        knn_join(index.points, index, k).write.parquet(f"{root}/near")
+        weighted = _weighted(spark.read.parquet(f"{root}/near"), own, k)
         kdist = weighted.groupBy("vid").agg(F.max("d").alias("kdist"))
         density = index.points.select("vid", "m").join(kdist, "vid").join(
             _local_density(weighted, kdist), "vid"
@@ -154,7 +153,13 @@ class LocalOutlierFactorModel(Model, _LofParams, MLWritable, MLReadable):
         queries = _distinct(keyed)
         less = 1 if self.getOrDefault("excludeSelf") else 0
         own = queries.select("vid").join(density.select("vid", (F.col("m") - less).alias("m")), "vid")
-        weighted = _weighted(knn_join(queries, index, k), own, k)
+        # Training vectors know their neighbours; only the others are searched for.
+        queries = materialize(spark, queries, "queries")
+        near = self._table(spark, "near").join(queries.select("vid"), "vid", "left_semi")
+        others = queries.join(density.select("vid"), "vid", "left_anti")
+        if not others.isEmpty():
+            near = near.unionByName(knn_join(others, index, k))
+        weighted = _weighted(near, own, k)
         mine = _local_density(weighted, density)
         around = (
             weighted.join(density.select(F.col("vid").alias("o"), "lrd"), "o")

@@ -1,39 +1,48 @@
-"""Exact k nearest neighbours as Spark joins between bounded blocks.
-
-Points are grouped around pivots (nearest pivot wins), each group is cut into rings by distance
-to its pivot, and a ring with too many points into equal parts. That gives blocks of bounded
-size with known distance ranges. A query first looks into its own block; the k-th distance found
-there bounds the answer, and the triangle inequality then rules out every block that cannot hold
-anything nearer. What is left is visited block by block, in groups of bounded size on both
-sides, and each visit returns at most k rows. (After Lu et al., "Efficient processing of k
-nearest neighbor joins using MapReduce", 2012.) Nothing is capped: the result is exact.
+"""Exact k nearest neighbours as Spark joins over a tree of pivots.
+
+Points are dealt to the nearest of a few pivots, crowded cells to pivots of their own, and so on: a
+tree whose leaves hold a bounded number of points and whose number of leaves grows with the input,
+while no task ever holds more pivots than one node has. Every node knows how near and how far its
+points are from its pivot.
+
+A query looks into its home leaf first; the k-th distance found there bounds its answer. It then goes
+down the tree again, and the triangle inequality and the bisecting planes between sibling pivots rule
+out what cannot hold anything nearer. Leaves that are left are visited in rounds, the nearest few
+first, then four times as many each: a round tightens the bounds, and leaves that fall behind them
+are not visited at all. (After Brin, "Near neighbor search in large metric spaces", 1995, and Lu et
+al., "Efficient processing of k nearest neighbor joins using MapReduce", 2012.) Nothing is
+capped: the result is exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from aerostrata.session import materialize
 
-BLOCK_ROWS = 2_000  # points of one block
-VISIT_ROWS = 10_000  # queries that visit a block in one task
-MAX_PIVOTS = 1_024  # pivots are held by every task: at most this many vectors
-_BLOCK = ["cell", "ring", "part"]
+BLOCK_ROWS = 10_000  # points of one leaf
+VISIT_ROWS = 2_500  # queries that visit a node or leaf in one task
+FANOUT = 32  # pivots of a node, about; twice as many at most
+ROUND = 4  # leaves of the first round
+DEEPEST = 16  # a cell that pivots did not divide by then is cut by hash
 _SLACK = 1e-6  # covers rounding in the bounds
+_TOP = "0"
 
 
 @dataclass
-class BlockIndex:
-    """`points` (vid, v, m, cell, ring, part) and `blocks` (cell, ring, parts, low, high, n, m)."""
+class PivotTree:
+    """`points` (vid, v, m, leaf) and `nodes` (parent, node, v, low, high, n, m, leaf, parts).
+
+    Points of a node with several parts are dealt to them by hash: its leaves are node#part.
+    """
 
     points: DataFrame
-    blocks: DataFrame
-    pivots: np.ndarray
+    nodes: DataFrame
+    levels: int
 
     @property
     def spark(self) -> SparkSession:
@@ -45,214 +54,259 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def _with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Nearest pivot of each vector and the distance to it."""
+def _matrix(table: pa.Table, name: str) -> np.ndarray:
+    flat = table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(table.num_rows, -1)
 
-    @F.pandas_udf("cell int, dist double")
-    def nearest(v: pd.Series) -> pd.DataFrame:
-        if len(v) == 0:
-            return pd.DataFrame({"cell": pd.Series([], dtype="int32"), "dist": pd.Series([], dtype="float64")})
-        points = np.stack(v.to_numpy())
-        cell = _distances(points, pivots).argmin(1)
-        exact = np.sqrt(((points - pivots[cell]) ** 2).sum(1))
-        return pd.DataFrame({"cell": cell.astype("int32"), "dist": exact})
 
-    return df.withColumn("_near", nearest("v")).select(*df.columns, "_near.cell", "_near.dist")
+def _met(left: DataFrame, right: DataFrame, on: str, visit_rows: int):
+    """Rows of both sides with an equal `on`, cogrouped with about `visit_rows` left rows at most.
 
-
-def _part(parts: str):
-    return F.pmod(F.xxhash64("vid", F.lit(1)), F.col(parts))
+    The right side, bounded per key, is copied to every part of a key's left rows.
+    """
+    load = left.groupBy(on).agg(F.ceil(F.count(F.lit(1)) / visit_rows).alias("_parts"))
+    dealt = left.join(load, on).withColumn("_part", F.pmod(F.xxhash64("vid", F.lit(3)), F.col("_parts"))).drop("_parts")
+    copied = right.join(load, on).withColumn(
+        "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))
+    ).drop("_parts")
+    return dealt.groupBy(on, "_part").cogroup(copied.groupBy(on, "_part"))
+
+
+def _nearest_child(left: pa.Table, right: pa.Table) -> pa.Table:
+    names = right["child"].to_pylist()
+    if not left.num_rows or not names:
+        return pa.table({c: pa.array([], t) for c, t in (("vid", pa.string()), ("child", pa.string()), ("dist", pa.float64()))})
+    order = np.argsort(names)  # the same pivot wins a tie in every part
+    x, pivots = _matrix(left, "v"), _matrix(right, "p")[order]
+    cell = _distances(x, pivots).argmin(1)
+    exact = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
+    return pa.table({"vid": left["vid"], "child": pa.array([names[order[c]] for c in cell]), "dist": exact})
+
+
+def _assigned(points: DataFrame, pivots: DataFrame, visit_rows: int = VISIT_ROWS) -> DataFrame:
+    """(vid, child, dist): the nearest pivot (node, child, p) of each point's (vid, v) node."""
+    return _met(points.select("vid", "v", "node"), pivots.select("node", "child", "p"), "node", visit_rows).applyInArrow(
+        _nearest_child, "vid string, child string, dist double"
+    )
 
 
-def load_index(spark: SparkSession, root: str) -> BlockIndex:
-    pivots = spark.read.parquet(f"{root}/pivots").collect()  # at most MAX_PIVOTS rows
-    return BlockIndex(
-        spark.read.parquet(f"{root}/points"), spark.read.parquet(f"{root}/blocks"),
-        np.array([r["v"] for r in sorted(pivots, key=lambda r: r["i"])]),
+def _pivots(open_: DataFrame, sizes: DataFrame, level: int, block_rows: int) -> DataFrame:
+    """About as many points of each open node as it needs children, chosen by hash: (node, child, p)."""
+    wanted = F.least(F.lit(FANOUT), F.greatest(F.lit(2), F.ceil(2 * F.col("n") / block_rows)))
+    place = F.pmod(F.xxhash64("vid", F.lit(level)), F.lit(1 << 40))
+    at = open_.join(sizes.select("node", "n"), "node").withColumn("c", F.struct(place.alias("h"), "vid", "v"))
+    some = F.when(F.col("c.h") * F.col("n") < wanted * float(1 << 40), F.col("c"))
+    chosen = at.groupBy("node").agg(F.min("c").alias("least"), F.collect_list(some).alias("some"))
+    every = F.slice(F.array_sort(F.array_union(F.array("least"), "some")), 1, 2 * FANOUT)
+    return chosen.select("node", F.posexplode(every).alias("i", "c")).select(
+        "node", F.concat("node", F.lit("."), F.col("i").cast("string")).alias("child"), F.col("c.v").alias("p")
     )
 
 
-def build_index(points: DataFrame, root: str, block_rows: int = BLOCK_ROWS) -> BlockIndex:
+def load_index(spark: SparkSession, root: str) -> PivotTree:
+    nodes = spark.read.parquet(f"{root}/nodes")
+    levels = nodes.agg(F.max(F.size(F.split("node", r"\.")))).first()[0] - 1
+    return PivotTree(spark.read.parquet(f"{root}/points"), nodes, levels)
+
+
+def build_index(points: DataFrame, root: str, block_rows: int = BLOCK_ROWS) -> PivotTree:
     """Index distinct vectors (vid, v) with multiplicity m as tables below `root`."""
     spark = points.sparkSession
-    points = materialize(spark, points, "points")
-    n = points.count()
+    points = materialize(spark, points.select("vid", "v", F.col("m").cast("bigint").alias("m")), "points")
+    n, m = points.agg(F.count(F.lit(1)), F.sum("m")).first()
     if n == 0:
         raise ValueError("no points to index")
-    wanted = min(MAX_PIVOTS, -(-n // block_rows))
-    chosen = points.orderBy(F.xxhash64("vid", F.lit(2)), "vid").limit(wanted).select("v").collect()
-    pivots = np.array([r["v"] for r in chosen])
-
-    placed = materialize(spark, _with_cell(points, pivots), "placed")
-    # One row per pivot: small enough to send along.
-    cells = placed.groupBy("cell").agg(
-        F.min("dist").alias("_lo"), F.max("dist").alias("_hi"),
-        F.ceil(F.count(F.lit(1)) / block_rows).alias("_rings"),
-    )
-    ringed = _with_ring(placed, cells)
-    rings = ringed.groupBy("cell", "ring").agg(
-        F.ceil(F.count(F.lit(1)) / block_rows).alias("parts"),
-        F.min("dist").alias("low"), F.max("dist").alias("high"),
-        F.count(F.lit(1)).alias("n"), F.sum("m").alias("m"),
-        F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.first("_rings").alias("_rings"),
-    )
-    rings.write.parquet(f"{root}/blocks")
-    blocks = spark.read.parquet(f"{root}/blocks")
-    indexed = (
-        ringed.join(blocks.select("cell", "ring", "parts"), ["cell", "ring"])
-        .withColumn("part", _part("parts"))
-        .select("vid", "v", "m", *_BLOCK)
-    )
-    indexed.write.parquet(f"{root}/points")
-    listed = [(i, [float(x) for x in p]) for i, p in enumerate(pivots)]
-    spark.createDataFrame(listed, "i int, v array<double>").write.parquet(f"{root}/pivots")
+    part = F.concat("node", F.lit("#"), F.pmod(F.xxhash64("vid", F.lit(1)), F.col("parts")).cast("string"))
+    kinds = "parent string, node string, v array<double>, low double, high double, n bigint, m bigint, leaf boolean, parts bigint"
+    top = spark.createDataFrame([("", _TOP, None, 0.0, float("inf"), n, m, n <= block_rows, 1)], kinds)
+    top.write.parquet(f"{root}/nodes")
+    if n <= block_rows:
+        points.select("vid", "v", "m", F.lit(f"{_TOP}#0").alias("leaf")).write.parquet(f"{root}/points")
+        return load_index(spark, root)
+    open_, sizes = points.withColumn("node", F.lit(_TOP)), top
+    for level in range(1, DEEPEST + 1):
+        pivots = materialize(spark, _pivots(open_, sizes, level, block_rows), "pivots")
+        placed = materialize(
+            spark,
+            open_.drop("node").join(_assigned(open_, pivots), "vid").withColumnRenamed("child", "node"), "placed",
+        )
+        sizes = placed.groupBy("node").agg(
+            F.min("dist").alias("low"), F.max("dist").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("m").alias("m")
+        ).withColumn("leaf", (F.col("n") <= block_rows) | F.lit(level == DEEPEST))
+        sizes = sizes.withColumn("parts", F.when(F.col("leaf"), F.ceil(F.col("n") / block_rows)).otherwise(1))
+        below = pivots.select(F.col("node").alias("parent"), F.col("child").alias("node"), F.col("p").alias("v"))
+        sizes = materialize(spark, below.join(sizes, "node").select("parent", "node", "v", "low", "high", "n", "m", "leaf", "parts"), "nodes")
+        sizes.write.mode("append").parquet(f"{root}/nodes")
+        near = placed.select("vid", "v", "m", "node")
+        ends = sizes.filter("leaf").select("node", "parts")
+        near.join(ends, "node").select("vid", "v", "m", part.alias("leaf")).write.mode("append").parquet(f"{root}/points")
+        sizes = sizes.filter("NOT leaf")
+        if sizes.isEmpty():
+            break
+        open_ = near.join(sizes.select("node"), "node")
     return load_index(spark, root)
 
 
-def _with_ring(placed: DataFrame, cells: DataFrame) -> DataFrame:
-    """Ring number by distance to the pivot, between 0 and rings - 1 also for new vectors."""
-    width = F.col("_hi") - F.col("_lo")
-    at = F.floor((F.col("dist") - F.col("_lo")) / width * F.col("_rings"))
-    ring = F.when(width > 0, F.greatest(F.lit(0), F.least(F.col("_rings") - 1, at))).otherwise(F.lit(0))
-    return placed.join(F.broadcast(cells), "cell").withColumn("ring", ring.cast("int"))
-
-
-def knn_join(
-    queries: DataFrame, index: BlockIndex, k: int, visit_rows: int = VISIT_ROWS
-) -> DataFrame:
-    """The k nearest points with another vid for each query (vid, v): rows (vid, o, d, m)."""
-    spark = index.spark
-    cells = index.blocks.groupBy("cell").agg(
-        F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.first("_rings").alias("_rings")
-    )
-    ringed = _with_ring(_with_cell(queries.select("vid", "v"), index.pivots), cells)
-    asked = materialize(
-        spark,
-        ringed.join(index.blocks.select("cell", "ring", "parts"), ["cell", "ring"], "left")
-        .withColumn("part", _part("parts"))
-        .select("vid", "v", "dist", *_BLOCK),
-        "queries",
-    )
-    home = asked.filter(F.col("part").isNotNull()).select("vid", *_BLOCK)
-    first = materialize(spark, _visit(home, asked, index, k, visit_rows), "near")
-    bound = (
-        first.withColumn("_m", F.aggregate("m", F.lit(0).cast("bigint"), lambda a, x: a + x))
-        .filter((F.col("_m") >= k))
-        .select("vid", F.element_at("d", -1).alias("bound"))
-    )
-    visits = _reachable(asked.join(bound, "vid", "left"), index, k)
-    visits = materialize(spark, visits, "visits")
-    second = _visit(visits, asked, index, k, visit_rows)
+def _routed(queries: DataFrame, tree: PivotTree) -> DataFrame:
+    """Queries (vid, v) with the leaf their nearest pivots lead to."""
+    spark = tree.spark
+    now, done = queries.select("vid", "v").withColumn("node", F.lit(_TOP)), []
+    ends = tree.nodes.filter("leaf").select("node", "parts")
+    inner = tree.nodes.filter("NOT leaf").select("node")
+    leaf = F.concat("node", F.lit("#"), F.pmod(F.xxhash64("vid", F.lit(1)), F.col("parts")).cast("string")).alias("leaf")
+    if tree.levels == 0:
+        return now.join(ends, "node").select("vid", "v", leaf)
+    children = tree.nodes.select(F.col("parent").alias("node"), F.col("node").alias("child"), F.col("v").alias("p"))
+    for _ in range(tree.levels):
+        found = now.drop("node").join(_assigned(now, children), "vid").withColumnRenamed("child", "node").drop("dist")
+        found = materialize(spark, found, "routed")
+        done.append(found.join(ends, "node").select("vid", "v", leaf))
+        now = found.join(inner, "node")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _closest(rows: DataFrame, k: int) -> DataFrame:
     nearest = Window.partitionBy("vid").orderBy("d", "o")
-    return (
-        first.unionByName(second)
-        .select("vid", F.inline(F.arrays_zip("o", "d", "m")))
-        .withColumn("_nth", F.row_number().over(nearest))
-        .filter(F.col("_nth") <= k)
-        .drop("_nth")
-    )
+    return rows.withColumn("_nth", F.row_number().over(nearest)).filter(F.col("_nth") <= k).drop("_nth")
 
 
-def _reachable(asked: DataFrame, index: BlockIndex, k: int) -> DataFrame:
-    """Blocks, other than the own one, that may hold a point nearer than the bound."""
-    pivots = index.pivots
-    between = _distances(pivots, pivots)
-    rows = (
-        index.blocks.groupBy("cell")
-        .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("m").alias("m"))
-        .collect()  # one row per pivot
-    )
-    low, high, many = (np.zeros(len(pivots)) for _ in range(3))
-    low[:] = np.inf
-    for r in rows:
-        low[r["cell"]], high[r["cell"]], many[r["cell"]] = r["low"], r["high"], r["m"]
-
-    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf["v"].to_numpy())
-            d = _distances(x, pivots)
-            # A cell with more than k points bounds the answer by its farthest point. The own
-            # copy of a query may be among them, hence "more than".
-            far = np.where(many > k, d + high, np.inf).min(1)
-            bound = np.fmin(pdf["bound"].to_numpy(dtype=float, na_value=np.inf), far)
-            own = pdf["cell"].to_numpy()
-            nearest = np.maximum(np.maximum(d - high, low - d), 0.0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                side = (d**2 - d[np.arange(len(d)), own][:, None] ** 2) / (2.0 * between[own])
-            nearest = np.fmax(nearest, np.where(np.isfinite(side), side, 0.0))
-            q, c = np.nonzero((nearest <= bound[:, None] + _SLACK) & (many > 0))
-            yield pd.DataFrame({
-                "vid": pdf["vid"].to_numpy()[q], "cell": c.astype("int32"), "away": d[q, c],
-                "bound": bound[q], "own_cell": own[q].astype("int32"),
-                "own_ring": pdf["ring"].to_numpy(dtype=float, na_value=-1)[q].astype("int32"),
-                "own_part": pdf["part"].to_numpy(dtype=float, na_value=-1)[q].astype("int64"),
-            })
-
-    schema = "vid string, cell int, away double, bound double, own_cell int, own_ring int, own_part bigint"
-    cells = asked.select("vid", "v", "bound", *_BLOCK).mapInPandas(reach, schema)
-    gap = F.greatest(F.lit(0.0), F.col("away") - F.col("high"), F.col("low") - F.col("away"))
-    own = (
-        (F.col("cell") == F.col("own_cell")) & (F.col("ring") == F.col("own_ring"))
-        & (F.col("part") == F.col("own_part"))
-    )
-    return (
-        cells.join(index.blocks.select("cell", "ring", "parts", "low", "high"), "cell")
-        .filter(gap <= F.col("bound") + F.lit(_SLACK))
-        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-        .filter(~own)
-        .select("vid", *_BLOCK)
-    )
+def _bounds(best: DataFrame, k: int) -> DataFrame:
+    """(vid, bound): nothing farther than this can be among the k nearest."""
+    return best.groupBy("vid").agg(F.max("d").alias("bound"), F.sum("m").alias("_m")).filter(F.col("_m") >= k).drop("_m")
 
 
-def _visit(
-    visits: DataFrame, asked: DataFrame, index: BlockIndex, k: int, visit_rows: int
+def knn_join(
+    queries: DataFrame, tree: PivotTree, k: int, visit_rows: int = VISIT_ROWS, stats: dict[str, int] | None = None
 ) -> DataFrame:
-    """Nearest points of each visited block, at most k per visit.
+    """The k nearest points with another vid for each query (vid, v): rows (vid, o, d, m).
 
-    A block that many queries visit is copied to several groups, so a group never holds more
-    than one block and about `visit_rows` queries.
+    Queries that know their home `leaf`, such as the tree's own points, are not sent down for it.
+    `stats` receives the number of visits and of leaves.
     """
-    load = visits.groupBy(*_BLOCK).agg(F.ceil(F.count(F.lit(1)) / visit_rows).alias("_groups"))
-    left = (
-        visits.join(load, _BLOCK)
-        .withColumn("_group", F.pmod(F.xxhash64("vid", F.lit(3)), F.col("_groups")))
-        .drop("_groups")
-        .join(asked.select("vid", "v"), "vid")
-    )
-    right = (
-        index.points.join(load, _BLOCK)
-        .withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_groups") - 1)))
-        .select(F.col("vid").alias("o"), F.col("v").alias("w"), "m", *_BLOCK, "_group")
-    )
-
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"vid": [], "o": [], "d": [], "m": []}
-        if len(a) and len(b):
-            points, names = np.stack(b["w"].to_numpy()), b["o"].to_numpy()
-            copies = b["m"].to_numpy()
-            for start in range(0, len(a), 512):
-                some = a.iloc[start:start + 512]
-                queries, vids = np.stack(some["v"].to_numpy()), some["vid"].to_numpy()
-                rough = _distances(queries, points)
-                rough[vids[:, None] == names[None, :]] = np.inf
-                take = min(len(b), 2 * k + 8)
-                best = np.argpartition(rough, take - 1, axis=1)[:, :take]
-                for i, cols in enumerate(best):
-                    cols = cols[np.isfinite(rough[i, cols])]
-                    exact = np.sqrt(((points[cols] - queries[i]) ** 2).sum(1))
-                    order = np.lexsort((names[cols], exact))[:k]
-                    if len(order):
-                        out["vid"].append(vids[i])
-                        out["o"].append(names[cols[order]].tolist())
-                        out["d"].append(exact[order].tolist())
-                        out["m"].append(copies[cols[order]].tolist())
-        return pd.DataFrame(out, dtype=object)  # an empty frame has no types to infer
-
-    keys = [*_BLOCK, "_group"]
-    return (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInPandas(nearest, "vid string, o array<string>, d array<double>, m array<bigint>")
+    spark = tree.spark
+    home = queries if "leaf" in queries.columns else _routed(queries, tree)
+    asked = materialize(spark, home.select("vid", "v", "leaf"), "queries")
+    best = materialize(spark, _visit(asked.select("vid", "leaf"), asked, tree, k, visit_rows), "near")
+    visits = asked.count()
+    if tree.levels:
+        left = materialize(spark, _reachable(asked, _bounds(best, k), tree, k, visit_rows), "visits")
+        upto = ROUND
+        while True:
+            now = left.filter(F.col("nth") <= upto)
+            visits += now.count()
+            found = _visit(now.select("vid", "leaf"), asked, tree, k, visit_rows)
+            best = materialize(spark, _closest(best.unionByName(found), k), "near")
+            later = left.filter(F.col("nth") > upto)
+            if later.isEmpty():
+                break
+            behind = later.join(_bounds(best, k), "vid", "left").filter("bound IS NULL OR gap <= bound + %r" % _SLACK).drop("bound")
+            left = materialize(spark, behind, "visits")
+            if left.isEmpty():
+                break
+            upto *= 4
+    if stats is not None:
+        stats.update(visits=visits, leaves=tree.nodes.filter("leaf").agg(F.sum("parts")).first()[0])
+    return best
+
+
+def _surviving(k: int):
+    """Children of a node that may hold a point within a query's bound."""
+    empty = pa.schema([("vid", pa.string()), ("child", pa.string()), ("gap", pa.float64()), ("far", pa.float64())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return empty.empty_table()
+        names = np.array(right["child"].to_pylist(), object)
+        pivots = _matrix(right, "p")
+        low, high, many = (right[c].to_numpy().astype(float) for c in ("low", "high", "m"))
+        between = _distances(pivots, pivots)
+        vids = np.array(left["vid"].to_pylist(), object)
+        limit = left["bound"].to_numpy()
+        limit = np.where(np.isnan(limit), np.inf, limit)
+        x = _matrix(left, "v")
+        d = _distances(x, pivots)
+        # A cell with more than k points bounds the answer by its farthest point. The own copy of a
+        # query may be among them, hence "more than".
+        far = np.where(many > k, d + high, np.inf).min(1)
+        bound = np.minimum(limit, far)
+        gap = np.maximum(np.maximum(d - high, low - d), 0.0)
+        own = d.argmin(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            side = (d**2 - d[np.arange(len(d)), own][:, None] ** 2) / (2.0 * between[own])
+        gap = np.fmax(gap, np.where(np.isfinite(side), side, 0.0))
+        q, c = np.nonzero(gap <= bound[:, None] + _SLACK)
+        return pa.table({"vid": pa.array(vids[q], pa.string()), "child": pa.array(names[c], pa.string()), "gap": gap[q, c], "far": bound[q]})
+
+    return run
+
+
+def _reachable(asked: DataFrame, bounds: DataFrame, tree: PivotTree, k: int, visit_rows: int) -> DataFrame:
+    """Leaves, other than the own one, within a query's bound: (vid, leaf, gap, nth nearest)."""
+    spark = tree.spark
+    own = asked.join(bounds, "vid", "left").select("vid", "v", "bound")
+    children = tree.nodes.filter("parent <> ''").select(
+        F.col("parent").alias("node"), F.col("node").alias("child"), F.col("v").alias("p"), "low", "high", "m"
     )
+    now, ends = own.withColumn("node", F.lit(_TOP)), None
+    for level in range(tree.levels):
+        found = _met(now, children, "node", visit_rows).applyInArrow(
+            _surviving(k), "vid string, child string, gap double, far double"
+        )
+        kind = tree.nodes.select(F.col("node").alias("child"), "leaf", "parts")
+        found = materialize(spark, found.join(kind, "child"), "reached")
+        here = found.filter("leaf").select("vid", "child", "gap", "far", "parts")
+        ends = here if ends is None else ends.unionByName(here)
+        if level + 1 < tree.levels:
+            inner = found.filter("NOT leaf").select("vid", F.col("child").alias("node"), "far")
+            now = inner.join(own, "vid").select("vid", "v", F.least("bound", "far").alias("bound"), "node")
+    within = Window.partitionBy("vid")
+    kept = ends.withColumn("_far", F.min("far").over(within)).filter(F.col("gap") <= F.col("_far") + F.lit(_SLACK))
+    leaves = kept.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    leaves = leaves.select("vid", F.concat("child", F.lit("#"), F.col("_i").cast("string")).alias("leaf"), "gap")
+    other = leaves.join(asked.select("vid", F.col("leaf").alias("_home")), "vid").filter("leaf <> _home").drop("_home")
+    return other.withColumn("nth", F.row_number().over(within.orderBy("gap", "leaf")))
+
+
+def _visit(visits: DataFrame, asked: DataFrame, tree: PivotTree, k: int, visit_rows: int) -> DataFrame:
+    """The k nearest points of each visited leaf: rows (vid, o, d, m).
+
+    A leaf that many queries visit is copied to several groups, so a group never holds more than one
+    leaf and about `visit_rows` queries.
+    """
+    left = visits.join(asked.select("vid", "v"), "vid")
+    right = tree.points.select(F.col("vid").alias("o"), F.col("v").alias("w"), "m", "leaf")
+    empty = pa.schema([("vid", pa.string()), ("o", pa.string()), ("d", pa.float64()), ("m", pa.int64())])
+
+    def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return empty.empty_table()
+        names = np.array(b["o"].to_pylist(), object)
+        order = np.argsort(names)
+        names, points = names[order], _matrix(b, "w")[order]
+        copies = b["m"].to_numpy()[order]
+        every, x = np.array(a["vid"].to_pylist(), object), _matrix(a, "v")
+        out = []
+        for lo in range(0, len(x), 512):
+            some, vids = x[lo:lo + 512], every[lo:lo + 512]
+            rough = _distances(some, points)
+            at = np.minimum(np.searchsorted(names, vids), len(names) - 1)
+            same = np.flatnonzero(names[at] == vids)
+            rough[same, at[same]] = np.inf
+            take = min(len(names), 2 * k + 8)
+            near = np.sort(np.argpartition(rough, take - 1, axis=1)[:, :take], axis=1)  # in order of names
+            exact = np.sqrt(((points[near] - some[:, None, :]) ** 2).sum(2))
+            exact[np.isinf(np.take_along_axis(rough, near, axis=1))] = np.inf
+            best = np.argsort(exact, axis=1, kind="stable")[:, :k]
+            d, cols = np.take_along_axis(exact, best, axis=1), np.take_along_axis(near, best, axis=1)
+            q, c = np.nonzero(np.isfinite(d))
+            out.append((vids[q], names[cols[q, c]], d[q, c], copies[cols[q, c]]))
+        v, o, d, m = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"vid": pa.array(v, pa.string()), "o": pa.array(o, pa.string()), "d": d, "m": m.astype(np.int64)})
+
+    return _met(left, right, "leaf", visit_rows).applyInArrow(nearest, "vid string, o string, d double, m bigint")
+
+
+__all__ = ["BLOCK_ROWS", "PivotTree", "build_index", "knn_join", "load_index"]

@@ -80,12 +80,12 @@ def classification_mcnemar(spark, folder):
 # --- detectors ---------------------------------------------------------------------------------
 
 
-def _detector_scores(spark, folder, name):
+def _detector_scores(spark, folder, name, exclude_self=True):
     table = feature_table(spark, folder)
     scaler = FeatureScaler(inputCols=FEATURES).fit(table)
     vectors = scaler.transform(table).select("batch_id", "features").persist()
     try:
-        model = PipelineModel([scaler, *fit_detector(name, vectors)])
+        model = PipelineModel([scaler, *fit_detector(name, vectors, exclude_self)])
     finally:
         vectors.unpersist()
     return model.transform(table)
@@ -104,6 +104,13 @@ def score_lof(spark, folder):
     return rounded(scored, ["batch_id", "prediction"], ["lof"])
 
 
+@register
+def score_lof_novelty(spark, folder):
+    """The factor as a novelty detector gives it to its own training rows: each finds itself first."""
+    scored = _detector_scores(spark, folder, "local_outlier_factor", exclude_self=False)
+    return rounded(scored, ["batch_id", "prediction"], ["lof"])
+
+
 @register
 def score_lof_pca(spark, folder):
     """Local outlier factor on fifteen principal components; rows only."""

@@ -252,14 +252,17 @@ def _mcnemar() -> str:
     return query("predictions", f"SELECT *, {stat} AS statistic FROM ({body})")
 
 
-def _lof(columns: list[str], k: int = 5) -> str:
-    """Plain all-pairs density ratio over the scaled training rows, each found by itself too."""
+def _lof(columns: list[str], k: int = 5, novelty: bool = False) -> str:
+    """Plain all-pairs density ratio over the scaled training rows; `novelty`: each also finds itself."""
     vec = ", ".join(f"({c} - m_{c}) / s_{c}" for c in columns)
     means = ", ".join(f"coalesce(avg({c}), 0.0) AS m_{c}" for c in columns)
     full = ", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in columns)
     stats = ", ".join(
         f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END AS s_{c}"
         for c in columns)
+    found = "SELECT * FROM knn"
+    if novelty:
+        found = f"SELECT p, o, d FROM knn WHERE nth < {k} UNION ALL SELECT batch_id, batch_id, 0.0 FROM pts"
     return query("features", f"""
 , mu AS (SELECT {means} FROM features),
 full_rows AS (SELECT batch_id, {full} FROM features, mu),
@@ -269,10 +272,12 @@ pairs AS (SELECT a.batch_id AS p, b.batch_id AS o, list_distance(a.v, b.v) AS d
           FROM pts a JOIN pts b ON a.batch_id <> b.batch_id),
 knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY d, o) AS nth FROM pairs) WHERE nth <= {k}),
 kd AS (SELECT p, max(d) AS kdist FROM knn GROUP BY p),
-lrd AS (SELECT knn.p, 1.0 / (avg(greatest(knn.d, kd.kdist)) + 1e-10) AS lrd FROM knn JOIN kd ON kd.p = knn.o GROUP BY knn.p)
-SELECT knn.p AS batch_id, {fixed('avg(o.lrd) / any_value(s.lrd)')} AS lof,
+lrd AS (SELECT knn.p, 1.0 / (avg(greatest(knn.d, kd.kdist)) + 1e-10) AS lrd FROM knn JOIN kd ON kd.p = knn.o GROUP BY knn.p),
+found AS ({found}),
+own AS (SELECT found.p, 1.0 / (avg(greatest(found.d, kd.kdist)) + 1e-10) AS lrd FROM found JOIN kd ON kd.p = found.o GROUP BY found.p)
+SELECT found.p AS batch_id, {fixed('avg(o.lrd) / any_value(s.lrd)')} AS lof,
        CASE WHEN avg(o.lrd) / any_value(s.lrd) > 1.5 THEN -1 ELSE 1 END AS prediction
-FROM knn JOIN lrd o ON o.p = knn.o JOIN lrd s ON s.p = knn.p GROUP BY knn.p
+FROM found JOIN lrd o ON o.p = found.o JOIN own s ON s.p = found.p GROUP BY found.p
 """).replace("\n\n, mu", ",\nmu", 1)
 
 
@@ -446,4 +451,5 @@ SELECT event_id, concat('c', CAST(event_id AS VARCHAR)) AS cycle_id,
        CAST((event_id * 37) % 100 AS DOUBLE) AS cpu_pct, CAST(40 + event_id % 20 AS DOUBLE) AS ram_percent
 FROM events WHERE event_id % 17 <> 0""",
         "score_lof": _lof(FEATURES),
+        "score_lof_novelty": _lof(FEATURES, novelty=True),
     }

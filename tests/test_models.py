@@ -5,7 +5,9 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from aerostrata.models import FeatureScaler, IsolationForest, LocalOutlierFactor, OneClassSvm
+from aerostrata.models.lof import _distinct
 from aerostrata.models.neighbors import build_index, knn_join
+from aerostrata.plans.catalog import FEATURES, feature_table
 from aerostrata.models.registry import ModelRegistry
 from aerostrata.models.supervised import balanced_weight, class_counts, fit_classifiers
 from aerostrata.plans.scoring import latest_models, score_features
@@ -55,7 +57,7 @@ def test_neighbours_equal_brute_force(spark, block):
                                   "vid string, v array<double>")
     index = build_index(points, scratch_dir(spark, "index"), block)
     if block < 120:
-        sizes = [r["count"] for r in index.points.groupBy("cell", "ring", "part").count().collect()]
+        sizes = [r["count"] for r in index.points.groupBy("leaf").count().collect()]
         assert len(sizes) > 120 // block - 1 and max(sizes) <= 2 * block
     got = {}
     for r in knn_join(asked, index, 5, visit_rows=7).collect():
@@ -67,6 +69,24 @@ def test_neighbours_equal_brute_force(spark, block):
         assert np.allclose([d for d, _ in sorted(got[f"q{i}"])], dist[i, best])
 
 
+def test_visits_grow_slower_than_the_leaves(spark):
+    """Ten times the batches: more leaves, and each query visits a smaller share of them."""
+    share, visits = [], []
+    for sf in ("sf0.01", "sf0.1"):
+        table = feature_table(spark, f"/root/testdata/{sf}")
+        scaled = FeatureScaler(inputCols=FEATURES).fit(table).transform(table)
+        keyed = LocalOutlierFactor()._keyed(scaled)
+        index = build_index(_distinct(keyed), scratch_dir(spark, "tree"), block_rows=150)
+        found: dict[str, int] = {}
+        rows = knn_join(index.points, index, 5, stats=found)
+        n = index.points.count()
+        assert rows.count() == 5 * n
+        visits.append(found["visits"] / n)
+        share.append(found["visits"] / n / found["leaves"])
+        assert index.points.groupBy("leaf").count().agg(F.max("count")).first()[0] <= 2 * 150
+    assert share[1] < 0.7 * share[0], (visits, share)
+
+
 @pytest.mark.parametrize("block", [12, 2000])
 def test_lof_equals_brute_force(spark, block):
     x = _points()
