@@ -5,12 +5,11 @@ from __future__ import annotations
 import time
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, LogisticRegression, RandomForestClassifier,
-)
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from aerostrata.models.logreg import NewtonLogisticRegression
 from aerostrata.models.scaler import FeatureScaler
 from aerostrata.session import settled
 
@@ -32,17 +31,11 @@ def balanced_weight(counts: dict[int, int], label: str = "y") -> Column:
     return weight
 
 
-def classifier(name: str, n_train: int):
-    """The learner of that name with its fixed settings.
-
-    Balanced weights sum to n, so a penalty factor of 1 on the summed loss is 1/n on its mean.
-    """
+def classifier(name: str):
+    """The learner of that name with its fixed settings."""
     shared = dict(featuresCol="features", labelCol="y", weightCol="weight")
     if name == "logistic_regression":
-        return LogisticRegression(
-            maxIter=1000, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
-            standardization=False, **shared,
-        )
+        return NewtonLogisticRegression(**shared)
     if name == "decision_tree":
         return DecisionTreeClassifier(maxDepth=5, maxBins=256, seed=42, **shared)
     if name == "random_forest":
@@ -69,13 +62,14 @@ def fit_classifiers(
     scaler = FeatureScaler(inputCols=columns).fit(train)
     vectors = scaler.transform(train).select(key, "features", F.col(label).cast("double").alias("y"))
     vectors = vectors.withColumn("weight", balanced_weight(counts))
-    # The forest draws its samples by partition.
-    vectors = settled(vectors, sum(counts.values()), key).drop(key).persist()
+    if "random_forest" in names:  # it draws its samples by partition
+        vectors = settled(vectors, sum(counts.values()), key)
+    vectors = vectors.drop(key).persist()
     try:
         fitted = {}
         for name in names:
             start = time.perf_counter()
-            model = classifier(name, sum(counts.values())).fit(vectors)
+            model = classifier(name).fit(vectors)
             fitted[name] = PipelineModel([scaler, model])
             if times_ms is not None:
                 times_ms[name] = (time.perf_counter() - start) * 1000.0

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
+from aerostrata.models.logreg import fit_prefixes, gradient
 from aerostrata.models.registry import ModelRegistry, latest_by_name
 from aerostrata.models.scaler import FeatureScaler
 from aerostrata.models.supervised import confidence, fit_classifiers
 from aerostrata.operators import labels
-from aerostrata.operators.folds import temporal_split
+from aerostrata.operators.folds import fold_bounds, temporal_split
 from aerostrata.plans import fleet
 from aerostrata.plans.catalog import (
     FEATURES, feature_table, kept_features, observations, register, rounded,
@@ -36,7 +37,7 @@ def _classifier_scores(spark, folder, name):
 
 @register
 def score_logreg(spark, folder):
-    """Logistic regression on the last fifth; an iterative fit, so rows only."""
+    """Logistic regression on the last fifth, by Newton steps; see logreg_fold_gradients for its oracle."""
     return _classifier_scores(spark, folder, "logistic_regression")
 
 
@@ -52,6 +53,21 @@ def score_forest(spark, folder):
     return _classifier_scores(spark, folder, "random_forest")
 
 
+@register
+def logreg_fold_gradients(spark, folder):
+    """The logistic fits of all folds and of the final split: rows trained on, and the gradient at the answer."""
+    labelled = labels.health_labels(kept_features(spark, folder))
+    table, n = chronological_table(labelled, "health_risk", 7, FEATURES)
+    n_train = int(n * 0.8)
+    ends = {fold: first for fold, first, _ in fold_bounds(n_train)} | {-1: n_train}
+    out = None
+    for (fold, end), model in zip(ends.items(), fit_prefixes(table, FEATURES, list(ends.values()))):
+        own = gradient(table.filter(F.col("chrono_idx") < end), model).select(
+            F.lit(fold).alias("fold"), "term", "n_train", (F.abs(F.round("gradient", 6)) + 0.0).alias("gradient"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def _classification(spark, folder, report, temporal=False):
     table, columns = feature_table(spark, folder), FEATURES
     if temporal:

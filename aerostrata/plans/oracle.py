@@ -450,6 +450,12 @@ WHERE (seq // 10 + 1) * 10 <= n""",
 SELECT event_id, concat('c', CAST(event_id AS VARCHAR)) AS cycle_id,
        CAST((event_id * 37) % 100 AS DOUBLE) AS cpu_pct, CAST(40 + event_id % 20 AS DOUBLE) AS ram_percent
 FROM events WHERE event_id % 17 <> 0""",
+        # The penalised loss is strictly convex: a zero gradient leaves one answer.
+        "logreg_fold_gradients": query("indexed", f"""
+SELECT CAST(fold AS INT) AS fold, term, CAST(CASE WHEN fold < 0 THEN n ELSE n - (5 - fold) * (n // 6) END AS BIGINT) AS n_train,
+       0.0E0 AS gradient
+FROM (SELECT CAST(floor(0.8E0 * any_value(total)) AS BIGINT) AS n FROM indexed) s, range(-1, 5) AS f(fold),
+     (SELECT unnest([{', '.join(repr(c) for c in ['intercept', *FEATURES])}]) AS term) t"""),
         "score_lof": _lof(FEATURES),
         "score_lof_novelty": _lof(FEATURES, novelty=True),
     }
