@@ -19,8 +19,11 @@ from aerostrata.plans.scoring import ANOMALY, CLASSIFICATION, SCORED_DETECTORS,
 from aerostrata.plans.study import (
     anomaly_study, chronological_table, classification_study, enrich, fit_detector,
 )
+from aerostrata.schema import CORE_FIELDS
 from aerostrata.session import materialize, scratch_dir
+from aerostrata.sources import tables
 from aerostrata.streaming import CountWindow, observation_stream, scorer, write_metrics
+from aerostrata.streaming.event_time import LateRouter, append_table, join_metrics, outages, sessions
 
 # --- supervised --------------------------------------------------------------------------------
 
@@ -264,6 +267,62 @@ def stream_metrics(spark, folder):
     return spark.read.parquet(path).select("event_id", "cycle_id", "cpu_pct", "ram_percent")
 
 
+_DELAY_S = 3600
+
+
+def _arrivals(rows: DataFrame, root: str, delayed=None, arrivals: int = 3) -> LateRouter:
+    """Route `rows` in parts split by time, in no order inside a part, and a heartbeat that moves the
+    clock on, so that what waits for the watermark comes out. `delayed` rows come with the last part."""
+    spark = rows.sparkSession
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    low, high = (0, 0) if low is None else (low, high)
+    part = F.least(F.floor((at - low) * arrivals / F.lit(high - low + 1)), F.lit(arrivals - 1))
+    if delayed is not None:
+        part = F.when(delayed, arrivals - 1).otherwise(part)
+    inbox, progress = scratch_dir(spark, "inbox"), scratch_dir(spark, "progress")
+    router = LateRouter(root, delay_s=_DELAY_S)
+    beat = spark.range(1).select(
+        *[F.timestamp_micros(F.lit(high + 30 * 86_400_000_000)).cast(f.dataType).alias(f.name) if f.name in ("ts", "measured_at")
+          else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    for k in range(arrivals + 1):
+        (rows.filter(part == k).orderBy(F.xxhash64("event_id")) if k < arrivals else beat).write.mode("append").parquet(inbox)
+        _drained(router.start(observation_stream(spark, inbox, rows.schema), progress))
+    return router
+
+
+@register
+def stream_with_metrics(spark, folder):
+    """Observations and metrics as two streams with watermarks; equals the batch join."""
+    obs = observations(spark, folder)
+    metrics = fleet.runtime_metrics(obs).select("ts", "event_id", "batch_id", "row_in_batch", "cpu_pct", "ram_percent")
+    sides = [_arrivals(x, scratch_dir(spark, "routed")).in_time(spark, x.schema) for x in (obs, metrics)]
+    path = scratch_dir(spark, "joined")
+    _drained(append_table(join_metrics(*sides, delay_s=_DELAY_S), path, scratch_dir(spark, "progress")))
+    joined = spark.read.parquet(path).filter("event_id IS NOT NULL")
+    scan = tables.scan_observations(joined, ["cpu_pct", "ram_percent"])
+    return rounded(scan, [c for c in scan.columns if c not in CORE_FIELDS], CORE_FIELDS)
+
+
+@register
+def stream_outages(spark, folder):
+    """Pauses of more than an hour from event-time sessions over rows in no order; equals data_gaps_1h."""
+    obs = observations(spark, folder)
+    stream = _arrivals(obs, scratch_dir(spark, "routed")).in_time(spark, obs.schema)
+    path = scratch_dir(spark, "sessions")
+    _drained(append_table(sessions(stream, 1, _DELAY_S), path, scratch_dir(spark, "progress")))
+    closed = spark.read.parquet(path).filter("station_id IS NOT NULL")
+    return rounded(outages(closed), ["station_id", "gap_start", "gap_end"], ["gap_hours"])
+
+
+@register
+def stream_late_rows(spark, folder):
+    """Rows that come after the watermark has passed them, in a table of their own: one cycle in 97 is held back."""
+    obs = observations(spark, folder).select("event_id", "station_id", "ts")
+    router = _arrivals(obs, scratch_dir(spark, "routed"), delayed=F.col("event_id") % 97 == 0)
+    return router.late(spark, obs.schema)
+
+
 @register
 def stream_scored(spark, folder):
     """Batches scored as they close, by all models fitted before; rows only."""

@@ -294,6 +294,9 @@ def statements() -> dict[str, str]:
         "scan_with_metrics": query(
             "rtm", f"SELECT {scan}, m.cpu_pct, m.ram_percent FROM obs o LEFT JOIN rtm m "
                    "USING (batch_id, row_in_batch)"),
+        "stream_with_metrics": query(
+            "rtm", f"SELECT {scan}, m.cpu_pct, m.ram_percent FROM obs o LEFT JOIN rtm m "
+                   "USING (batch_id, row_in_batch)"),
         "scan_with_metrics_dedup": query(
             "latest", f"SELECT {scan}, m.cpu_pct, m.ram_percent FROM obs o LEFT JOIN latest m "
                       "USING (batch_id, row_in_batch)"),
@@ -416,6 +419,17 @@ FROM (SELECT event_id, event_id * 7 % 65536 AS a, event_id * 1009 % 65536 AS b,
                    "lag(measured_at) OVER w AS gap_start, measured_at AS gap_end, "
                    "(epoch_us(measured_at) - epoch_us(lag(measured_at) OVER w)) / 3600000000.0E0 AS gap_hours "
                    "FROM obs WINDOW w AS (PARTITION BY station_id ORDER BY measured_at)) WHERE gap_hours > 1"),
+        "stream_outages": query(
+            "obs", f"SELECT station_id, gap_start, gap_end, {fixed('gap_hours')} AS gap_hours FROM (SELECT station_id, "
+                   "lag(measured_at) OVER w AS gap_start, measured_at AS gap_end, "
+                   "(epoch_us(measured_at) - epoch_us(lag(measured_at) OVER w)) / 3600000000.0E0 AS gap_hours "
+                   "FROM obs WINDOW w AS (PARTITION BY station_id ORDER BY measured_at)) WHERE gap_hours > 1"),
+        # Held-back rows come with the last third of the time; what the rows before it have passed by an hour is late.
+        "stream_late_rows": """
+WITH b AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+p AS (SELECT event_id, user_id % 8 AS station_id, ts,
+             CASE WHEN event_id % 97 = 0 THEN 2 ELSE floor((epoch_us(ts) - lo) * 3.0E0 / (hi - lo + 1)) END AS part FROM events, b)
+SELECT event_id, station_id, ts FROM p WHERE part = 2 AND ts < (SELECT max(ts) FROM p WHERE part < 2) - INTERVAL 1 HOUR""",
         "batch_energy": query(
             "rtm", f"SELECT batch_id, {fixed('avg(power_w)')} AS avg_power_w, "
                    f"{fixed('sum(power_w * cycle_total_ms / 3600000.0E0)')} AS energy_wh, count(*) AS n_cycles "
