@@ -66,6 +66,11 @@ def near_groups(docs: list[tuple]) -> list[tuple]:
     return [(d, f"{prints[i]:016x}", named[sets.find(i)]) for i, (d, _) in enumerate(docs)]
 
 
+def one_of_each(docs: list[tuple]) -> list[tuple]:
+    """The (doc_id, text) of each near-duplicate group that stays; doc_ids are different or null once."""
+    return [(d, t) for (d, t), (_, _, c) in zip(docs, near_groups(docs)) if d == c]
+
+
 def windows_kept(docs: list[tuple], window: int = 20) -> list[list[str]]:
     """Words that stay of each (doc_id, text); doc_ids are different."""
     first: dict[tuple, tuple] = {}
@@ -101,25 +106,27 @@ def edits(a: list[str], b: list[str]) -> int:
 
 
 def lines_kept(docs: list[tuple]) -> list[str | None]:
-    """Texts after line dedup; doc_ids are different."""
+    """Texts after line dedup by edit similarity of all pairs of lines; doc_ids are different."""
     places, first = [], {}
     order = sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0))
     for r, i in enumerate(order):
         for p, line in enumerate((docs[i][1] or "").split("\n")):
-            own = normalised(line)
-            if len(own.split(" ")) >= 5:
+            shown = regex.sub(r"[\s\p{Z}\p{Cc}]+", " ", line).strip(" ")
+            if shown:
+                own = normalised(line) or shown
                 first.setdefault(own, (r, p))
                 places.append((i, r, p, own))
     nodes = list(first)
-    number = {n: k for k, n in enumerate(nodes)}
-    prints = [simhash(n.split(" ")) for n in nodes]
+    units = [n.split(" ") for n in nodes]
     sets = Sets(len(nodes))
     for a in range(len(nodes)):
         for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 3:
-                x, y = nodes[a].split(" "), nodes[b].split(" ")
-                if edits(x, y) <= math.floor(max(len(x), len(y)) * 0.2 + 1e-9):
+            most = math.floor(max(len(units[a]), len(units[b])) * 0.2 + 1e-9)
+            if most and abs(len(units[a]) - len(units[b])) <= most:
+                common = sum((Counter(units[a]) & Counter(units[b])).values())
+                if max(len(units[a]), len(units[b])) - common <= most and edits(units[a], units[b]) <= most:
                     sets.join(a, b)
+    number = {n: k for k, n in enumerate(nodes)}
     stays: dict[int, tuple] = {}
     for n in nodes:
         g = sets.find(number[n])

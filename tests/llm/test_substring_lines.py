@@ -91,3 +91,11 @@ def test_lines_of_a_large_group_of_near_copies(docs_of):
     kept = brute.lines_kept(rows)
     assert got == {d: int(k == "") for (d, _), k in zip(rows, kept)}
     assert sum(got.values()) > 20
+
+
+def test_words_are_told_apart_when_lines_are_compared(docs_of):
+    """Two words whose short hashes once met, and one other: a similarity of 4 in 6."""
+    rows = [(1, "wordbbjf alpha beta gamma delta one"), (2, "worddcaa alpha beta gamma delta two"),
+            (3, "wordbbjf alpha beta gamma delta six")]
+    got = {r.doc_id: r.n_removed for r in lines.deduplicated(docs_of(rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 1}
