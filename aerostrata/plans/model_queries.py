@@ -282,9 +282,10 @@ def _arrivals(rows: DataFrame, root: str, delayed=None, arrivals: int = 3) -> La
         part = F.when(delayed, arrivals - 1).otherwise(part)
     inbox, progress = scratch_dir(spark, "inbox"), scratch_dir(spark, "progress")
     router = LateRouter(root, delay_s=_DELAY_S)
-    beat = spark.range(1).select(
-        *[F.timestamp_micros(F.lit(high + 30 * 86_400_000_000)).cast(f.dataType).alias(f.name) if f.name in ("ts", "measured_at")
-          else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    # The keys of a heartbeat are there: an outer join reads no row of its right side without them.
+    ahead = F.timestamp_micros(F.lit(high + 30 * 86_400_000_000))
+    sent = {"ts": ahead, "measured_at": ahead, "batch_id": F.lit(""), "row_in_batch": F.lit(-1)}
+    beat = spark.range(1).select(*[sent.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
     for k in range(arrivals + 1):
         (rows.filter(part == k).orderBy(F.xxhash64("event_id")) if k < arrivals else beat).write.mode("append").parquet(inbox)
         _drained(router.start(observation_stream(spark, inbox, rows.schema), progress))
