@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from aerostrata.functions.scalar import fixed, fixed_sql
 from aerostrata.operators import (
-    energy, evaluate, features as ft, folds, freshness, labels, microbatch, prep, status,
+    energy, evaluate, features as ft, folds, freshness, incremental, labels, microbatch, prep, sketches, status,
 )
 from aerostrata.plans import fleet
 from aerostrata.schema import (
@@ -26,6 +26,7 @@ FEATURES = feature_names()
 RANGES = [c for c in FEATURES if c.endswith("_range")]
 STATUSES = ["scd41_status", "bme688_status", "sps30_status"]
 NOW = "2024-01-30 12:30:00"
+LATER = "2024-02-03 12:30:00"
 
 _QUERIES: dict[str, Query] = {}
 
@@ -198,9 +199,9 @@ def assign_microbatches(spark, folder):
 @register
 def microbatch_headers(spark, folder):
     """Headers of closed batches."""
-    headers = microbatch.batch_headers(observations(spark, folder))
+    headers = microbatch.batch_headers(observations(spark, folder), F.lit(NOW).cast("timestamp"))
     closed = headers.filter(F.col("record_count") >= microbatch.batch_size())
-    return closed.drop("created_at", "closed_at")
+    return wall_time(closed, "created_at", "closed_at")
 
 
 @register
@@ -498,17 +499,27 @@ def anomaly_metrics(spark, folder):
 
 # --- freshness and energy ----------------------------------------------------------------------
 
-@register
-def freshness_status(spark, folder):
-    """Freshness of the fleet at a fixed time (placement in batches is not needed)."""
+def _freshness(spark, folder, now):
     obs = fleet.readings(fleet.read_events(spark, folder).withColumn("station_id", F.col("user_id") % 8))
-    row = freshness.freshness_status(obs, NOW).drop("message")
+    row = freshness.freshness_status(obs, now)
     return rounded(
         wall_time(row, "last_measured_at", "checked_at"),
-        ["last_measured_at", "checked_at", "status"], ["age_hours"],
+        ["last_measured_at", "checked_at", "status", "message"], ["age_hours"],
     )
 
 
+@register
+def freshness_status(spark, folder):
+    """Freshness of the fleet at a fixed time (placement in batches is not needed)."""
+    return _freshness(spark, folder, NOW)
+
+
+@register
+def freshness_alert(spark, folder):
+    """The alert, text included, at a fixed time days after the last reading."""
+    return _freshness(spark, folder, LATER)
+
+
 def _gaps(spark, folder, hours):
     obs = fleet.readings(fleet.read_events(spark, folder).withColumn("station_id", F.col("user_id") % 8))
     gaps = freshness.data_gaps(obs, hours)
@@ -561,3 +572,65 @@ def ingest_counts(spark, folder):
         F.count_distinct("batch_id").alias("n_batches"),
         F.max("measured_at").alias("last_measured_at"),
     )
+
+
+# --- kept up to date ---------------------------------------------------------------------------
+
+def _appended(rows, store, appends=3):
+    """A store that took the rows in parts split by time, as days arrive."""
+    spark = rows.sparkSession
+    rows = materialize(spark, rows, "arrivals")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    low, high = (0, 0) if low is None else (low, high)
+    part = F.least(F.floor((at - low) * appends / F.lit(high - low + 1)), F.lit(appends - 1))
+    for k in range(appends):
+        store.append(rows.filter(part == k), k)
+    return store.rows(spark)
+
+
+@register
+def incremental_microbatches(spark, folder):
+    """Batch places of rows that arrive in three appends, each placed behind the state before it."""
+    cycles = fleet.read_events(spark, folder).select(
+        (F.col("user_id") % 8).alias("station_id"), "event_id", "ts", F.lit(0.0).alias("power_w"))
+    placed = _appended(cycles, incremental.SeriesStore(scratch_dir(spark, "series")))
+    n = microbatch.batch_size()
+    return placed.select(
+        "station_id", "event_id", microbatch.batch_key(F.col("station_id"), F.floor(F.col("seq") / n)).alias("batch_id"),
+        (F.col("seq") % n).cast("int").alias("row_in_batch"))
+
+
+@register
+def incremental_energy(spark, folder):
+    """Running energy over three appends; equals the full run."""
+    latest = tables.latest_metrics(fleet.runtime_metrics(observations(spark, folder)))
+    placed = _appended(latest, incremental.SeriesStore(scratch_dir(spark, "series")))
+    return rounded(placed.withColumnRenamed("total", "cumulative_energy_wh"), ["event_id"], ["cumulative_energy_wh"])
+
+
+@register
+def sketch_errors(spark, folder):
+    """Distinct counts and quantiles from merged sketches of the days, beside exact ones and the stated bounds."""
+    events = fleet.read_events(spark, folder)
+    days = materialize(spark, sketches.daily_sketches(events, ["event_id", "user_id"], ["value"]), "sketches")
+    found = sketches.estimates(sketches.merged(days), [0.1, 0.5, 0.9]).first()  # one row
+    exact = events.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        *[F.count_distinct(c).cast("double").alias(f"distinct_{c}") for c in ("event_id", "user_id")],
+        *[F.expr(f"percentile(value, {q})").alias(f"q{round(q * 100)}_value") for q in (0.1, 0.5, 0.9)],
+        *[F.count_if(F.col("value") < F.lit(found[f"q{p}_value"])).alias(f"_below{p}") for p in (10, 50, 90)],
+        *[F.count_if(F.col("value") <= F.lit(found[f"q{p}_value"])).alias(f"_upto{p}") for p in (10, 50, 90)],
+        F.count("value").alias("_n"),
+    )
+    rows = [
+        F.struct(F.lit(f"distinct_{c}").alias("measure"), F.col(f"distinct_{c}").alias("exact"),
+                 (F.abs(F.lit(found[f"distinct_{c}"]) - F.col(f"distinct_{c}")) <= sketches.HLL_ERROR * F.col(f"distinct_{c}")).alias("within"))
+        for c in ("event_id", "user_id")
+    ] + [
+        F.struct(F.lit(f"q{p}_value").alias("measure"), F.col(f"q{p}_value").alias("exact"),
+                 ((F.col(f"_below{p}") / F.col("_n") <= p / 100 + sketches.KLL_ERROR)
+                  & (F.col(f"_upto{p}") / F.col("_n") >= p / 100 - sketches.KLL_ERROR)).alias("within"))
+        for p in (10, 50, 90)
+    ]
+    return rounded(exact.select("n_rows", F.inline(F.array(*rows))), ["n_rows", "measure", "within"], ["exact"])

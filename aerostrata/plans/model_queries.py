@@ -9,7 +9,7 @@ from aerostrata.models.logreg import fit_prefixes, gradient
 from aerostrata.models.registry import ModelRegistry, latest_by_name
 from aerostrata.models.scaler import FeatureScaler
 from aerostrata.models.supervised import confidence, fit_classifiers
-from aerostrata.operators import labels
+from aerostrata.operators import features as ft, labels, microbatch
 from aerostrata.operators.folds import fold_bounds, temporal_split
 from aerostrata.plans import fleet
 from aerostrata.plans.catalog import (
@@ -19,7 +19,7 @@ from aerostrata.plans.scoring import ANOMALY, CLASSIFICATION, SCORED_DETECTORS,
 from aerostrata.plans.study import (
     anomaly_study, chronological_table, classification_study, enrich, fit_detector,
 )
-from aerostrata.schema import CORE_FIELDS
+from aerostrata.schema import CORE_FIELDS, SYSTEM_FIELDS, feature_names
 from aerostrata.session import materialize, scratch_dir
 from aerostrata.sources import tables
 from aerostrata.streaming import CountWindow, observation_stream, scorer, write_metrics
@@ -155,6 +155,23 @@ def anomaly_synthetic_report(spark, folder):
     return anomaly_study(feature_table(spark, folder)).reports["synthetic"]
 
 
+@register
+def classification_final_system(spark, folder):
+    """The hold-out report of all classifiers trained with system load: what they were judged on, and with how many features."""
+    obs, fields = observations(spark, folder), CORE_FIELDS + SYSTEM_FIELDS
+    scan = tables.scan_with_metrics(obs, fleet.runtime_metrics(obs), dedupe_metrics=True)
+    table = materialize(spark, ft.batch_features(scan, fields, min_rows=microbatch.batch_size()), "features")
+    study = classification_study(table, feature_names(fields))
+    return study.reports["final"].select("model", "n_samples", "n_positive", "n_negative", F.lit(len(study.columns)).alias("n_features"))
+
+
+@register
+def anomaly_rule_temporal(spark, folder):
+    """Detectors trained with time and rolling features, against the range rule, and how many features they saw."""
+    study = anomaly_study(*enrich(feature_table(spark, folder), FEATURES))
+    return study.reports["rule"].select("model", "n_samples", "n_true_anomalies", F.lit(len(study.columns)).alias("n_features"))
+
+
 # --- registry and scoring ----------------------------------------------------------------------
 
 

@@ -282,6 +282,24 @@ FROM found JOIN lrd o ON o.p = found.o JOIN own s ON s.p = found.p GROUP BY foun
 
 
 NOW = "2024-01-30 12:30:00"
+LATER = "2024-02-03 12:30:00"
+
+
+def _freshness(now: str) -> str:
+    """Status row with the alert's text, which names both times in both zones."""
+    def zones(t: str) -> str:
+        local = f"timezone('Europe/Kyiv', timezone('UTC', {t}))"
+        return f"strftime({t}, '%Y-%m-%d %H:%M') || ' UTC (' || strftime({local}, '%Y-%m-%d %H:%M') || ' Kyiv)'"
+
+    at = f"TIMESTAMP '{now}'"
+    age = f"(epoch_us({at}) - epoch_us(last)) / 3600000000.0E0"
+    return f"""SELECT last AS last_measured_at, {at} AS checked_at, {fixed(age)} AS age_hours, status,
+        CASE status WHEN 'stale' THEN printf('No new row for %.1f hours. Last reading ', {age}) || {zones('last')} || ', checked ' || {zones(at)} || '.'
+             WHEN 'no_data' THEN 'No rows at all. Checked ' || {zones(at)} || '.' END AS message
+        FROM (SELECT *, CASE WHEN hour(timezone('Europe/Kyiv', timezone('UTC', {at}))) NOT BETWEEN 9 AND 20 THEN 'outside_window'
+                 WHEN last IS NULL THEN 'no_data'
+                 WHEN epoch_us({at}) - epoch_us(last) > 21600000000 THEN 'stale' ELSE 'fresh' END AS status
+            FROM (SELECT max(measured_at) AS last FROM obs))"""
 
 
 def statements() -> dict[str, str]:
@@ -324,7 +342,8 @@ FROM (SELECT event_id, event_id * 7 % 65536 AS a, event_id * 1009 % 65536 AS b,
         "microbatch_headers": query(
             "obs", "SELECT batch_id, min_by(measured_at, row_in_batch) AS start_ts, "
                    "max_by(measured_at, row_in_batch) AS end_ts, CAST(count(*) AS INT) AS record_count, "
-                   "TRUE AS is_closed FROM obs GROUP BY batch_id HAVING count(*) >= 10"),
+                   f"TRUE AS is_closed, TIMESTAMP '{NOW}' AS created_at, TIMESTAMP '{NOW}' AS closed_at "
+                   "FROM obs GROUP BY batch_id HAVING count(*) >= 10"),
         "closed_batches_only": query(
             "obs", "SELECT station_id, event_id, batch_id, row_in_batch FROM obs WHERE batch_id IN "
                    "(SELECT batch_id FROM obs GROUP BY batch_id HAVING count(*) >= 10)"),
@@ -402,13 +421,8 @@ FROM (SELECT event_id, event_id * 7 % 65536 AS a, event_id * 1009 % 65536 AS b,
                 f"SELECT '{m}' AS model, {range_sql()} AS y, {range_sql(k)} AS pred FROM features"
                 for m, k in (("rule", 1.0), ("tight", 0.9), ("loose", 1.1)))
             + ") GROUP BY model)"),
-        "freshness_status": query(
-            "obs", f"""SELECT last AS last_measured_at, TIMESTAMP '{NOW}' AS checked_at,
-            {fixed(f"(epoch_us(TIMESTAMP '{NOW}') - epoch_us(last)) / 3600000000.0E0")} AS age_hours,
-            CASE WHEN hour(timezone('Europe/Kyiv', timezone('UTC', TIMESTAMP '{NOW}'))) NOT BETWEEN 9 AND 20 THEN 'outside_window'
-                 WHEN last IS NULL THEN 'no_data'
-                 WHEN epoch_us(TIMESTAMP '{NOW}') - epoch_us(last) > 21600000000 THEN 'stale' ELSE 'fresh' END AS status
-            FROM (SELECT max(measured_at) AS last FROM obs)"""),
+        "freshness_status": query("obs", _freshness(NOW)),
+        "freshness_alert": query("obs", _freshness(LATER)),
         "data_gaps": query(
             "obs", f"SELECT station_id, gap_start, gap_end, {fixed('gap_hours')} AS gap_hours FROM (SELECT station_id, "
                    "lag(measured_at) OVER w AS gap_start, measured_at AS gap_end, "
@@ -464,6 +478,31 @@ WHERE (seq // 10 + 1) * 10 <= n""",
 SELECT event_id, concat('c', CAST(event_id AS VARCHAR)) AS cycle_id,
        CAST((event_id * 37) % 100 AS DOUBLE) AS cpu_pct, CAST(40 + event_id % 20 AS DOUBLE) AS ram_percent
 FROM events WHERE event_id % 17 <> 0""",
+        "incremental_microbatches": query("obs", "SELECT station_id, event_id, batch_id, row_in_batch FROM obs"),
+        "incremental_energy": query(
+            "rtm", f"SELECT event_id, {fixed('sum(step) OVER (PARTITION BY station_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)')} "
+                   "AS cumulative_energy_wh FROM (SELECT station_id, event_id, ts, coalesce(power_w * (epoch_us(ts) - "
+                   "lag(epoch_us(ts)) OVER (PARTITION BY station_id ORDER BY ts, event_id)) / 1e6 / 3600.0E0, 0.0) AS step "
+                   "FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, row_in_batch ORDER BY ts DESC, cycle_id DESC) AS nth "
+                   "FROM rtm) WHERE nth = 1)"),
+        "sketch_errors": "SELECT n_rows, unnest(['distinct_event_id', 'distinct_user_id', 'q10_value', 'q50_value', 'q90_value']) AS measure, "
+            f"unnest([{', '.join(fixed(x) for x in ('e', 'u', 'a', 'b', 'c'))}]) AS exact, TRUE AS within FROM ("
+            "SELECT count(*) AS n_rows, CAST(count(DISTINCT event_id) AS DOUBLE) AS e, CAST(count(DISTINCT user_id) AS DOUBLE) AS u, "
+            "quantile_cont(value, 0.1) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.9) AS c FROM events)",
+        # Studies: what each model was judged on, and the number of its features.
+        "classification_final_system": query("latest", f""", both_t AS (
+            SELECT o.*, m.cpu_pct, m.ram_percent FROM obs o LEFT JOIN latest m USING (batch_id, row_in_batch)),
+            sys AS ({stats_sql('both_t', CORE_FIELDS + SYSTEM_FIELDS)}),
+            kept AS (SELECT *, row_number() OVER (ORDER BY batch_ts, batch_id) - 1 AS i, count(*) OVER () AS total FROM sys
+                     WHERE n_rows >= 10 AND {share_sql(CORE_FIELDS + SYSTEM_FIELDS)} <= 0.5)
+            SELECT unnest(['threshold_baseline', 'logistic_regression', 'decision_tree', 'random_forest']) AS model, n_samples,
+                   n_positive, n_samples - n_positive AS n_negative, CAST(72 AS INT) AS n_features
+            FROM (SELECT count(*) AS n_samples, CAST(sum({health_sql()}) AS BIGINT) AS n_positive
+                  FROM kept WHERE i >= floor(0.8E0 * total))""").replace("\n, both_t", ",\nboth_t", 1),
+        "anomaly_rule_temporal": query("features", f"""
+            SELECT unnest(['rule_based_baseline', 'isolation_forest', 'local_outlier_factor', 'local_outlier_factor_pca', 'one_class_svm'])
+                     AS model, count(*) AS n_samples, CAST(sum({range_sql()}) AS BIGINT) AS n_true_anomalies,
+                   CAST({len(FEATURES) + 3 + len([f for f in ROLLING_FIELDS if f in FEATURES])} AS INT) AS n_features FROM features"""),
         # The penalised loss is strictly convex: a zero gradient leaves one answer.
         "logreg_fold_gradients": query("indexed", f"""
 SELECT CAST(fold AS INT) AS fold, term, CAST(CASE WHEN fold < 0 THEN n ELSE n - (5 - fold) * (n // 6) END AS BIGINT) AS n_train,
