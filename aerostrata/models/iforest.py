@@ -1,7 +1,18 @@
-"""Isolation forest (Liu, Ting, Zhou 2008): random trees over small samples."""
+"""Isolation forest (Liu, Ting, Zhou 2008): random trees over small samples.
+
+Every choice follows a keyed hash, so a forest can be rebuilt elsewhere, in SQL for example:
+
+* A row's place in a tree's lottery is (a * m + b) mod (2^31 - 1), m = 1 + (7919 tree + 104729 seed) mod
+  (2^31 - 2); a and b are the first and the second eight hex digits of md5("id|seed"), mod 2^31. The
+  smallest places are the sample; equal ones follow the id.
+* Nodes are numbered as in a heap: 1 is the root, 2i and 2i + 1 are the children of i. Node i splits by the
+  eight hex digits u and w of md5("seed|tree|i"): on the (u mod k)-th of its k features that vary, at
+  low + w / 2^32 (high - low); what is at most that goes left.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 
@@ -13,9 +24,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol, HasSeed
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-_TREE = "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, length array<double>"
+_PRIME = (1 << 31) - 1
+_TREE = "tree int, number array<bigint>, size array<int>, feature array<int>, cut array<double>, left array<int>, right array<int>, length array<double>"
 
 
 def expected_length(n: float) -> float:
@@ -27,16 +39,16 @@ def expected_length(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
 
 
-def grow_tree(points: np.ndarray, rng: np.random.Generator, limit: int) -> dict[str, list]:
-    """One random tree as parallel node lists; leaves have feature -1 and their path length."""
-    nodes: dict[str, list] = {k: [] for k in ("feature", "cut", "left", "right", "length")}
+def grow_tree(points: np.ndarray, seed: int, tree: int, limit: int) -> dict[str, list]:
+    """One tree as parallel node lists; leaves have feature -1 and their path length."""
+    nodes: dict[str, list] = {k: [] for k in ("number", "size", "feature", "cut", "left", "right", "length")}
 
-    def add() -> int:
-        for key, empty in (("feature", -1), ("cut", 0.0), ("left", -1), ("right", -1), ("length", 0.0)):
-            nodes[key].append(empty)
+    def add(number: int, size: int) -> int:
+        for key, value in (("number", number), ("size", size), ("feature", -1), ("cut", 0.0), ("left", -1), ("right", -1), ("length", 0.0)):
+            nodes[key].append(value)
         return len(nodes["feature"]) - 1
 
-    todo = [(add(), np.arange(len(points)), 0)]
+    todo = [(add(1, len(points)), np.arange(len(points)), 0)]
     while todo:
         node, rows, depth = todo.pop()
         low, high = points[rows].min(axis=0), points[rows].max(axis=0)
@@ -44,13 +56,15 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator, limit: int) -> dict[
         if depth >= limit or len(rows) <= 1 or len(varying) == 0:
             nodes["length"][node] = depth + expected_length(len(rows))
             continue
-        f = int(rng.choice(varying))
-        cut = float(rng.uniform(low[f], high[f]))
+        number = nodes["number"][node]
+        digest = hashlib.md5(f"{seed}|{tree}|{number}".encode()).hexdigest()
+        f = int(varying[int(digest[:8], 16) % len(varying)])
+        cut = float(low[f] + int(digest[8:16], 16) / 2.0**32 * (high[f] - low[f]))
         goes_left = points[rows, f] <= cut
         nodes["feature"][node], nodes["cut"][node] = f, cut
-        nodes["left"][node], nodes["right"][node] = add(), add()
-        todo.append((nodes["left"][node], rows[goes_left], depth + 1))
-        todo.append((nodes["right"][node], rows[~goes_left], depth + 1))
+        for side, number, part in (("left", 2 * number, rows[goes_left]), ("right", 2 * number + 1, rows[~goes_left])):
+            nodes[side][node] = add(number, len(part))
+            todo.append((nodes[side][node], part, depth + 1))
     return nodes
 
 
@@ -89,14 +103,17 @@ class IsolationForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultPa
         # A row is a candidate for a tree when its hash is small: half as many again as needed,
         # so a shortfall is out of reach. The smallest hashes among them are the sample.
         share = min(1.0, 1.5 * size / n)
+        digest = F.md5(F.concat_ws("|", F.col("_id").cast("string"), F.lit(str(seed))).cast("binary"))
+        a, b = (F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint") % (1 << 31) for at in (1, 9))
+        rows = rows.withColumns({"_a": a, "_b": b})
         hashed = F.transform(
             F.sequence(F.lit(0), F.lit(trees - 1)),
             lambda t: F.struct(
                 t.alias("tree"),
-                (F.xxhash64(F.col("_id"), t, F.lit(seed)).bitwiseAND(F.lit((1 << 63) - 1))).alias("h"),
+                ((F.col("_a") * (1 + (7919 * t.cast("bigint") + 104729 * seed) % (_PRIME - 1)) + F.col("_b")) % _PRIME).alias("h"),
             ),
         )
-        limit = min(int(share * (1 << 63)), (1 << 63) - 1)
+        limit = int(share * _PRIME)
         drawn = rows.withColumn("_draws", F.filter(hashed, lambda d: d["h"] <= F.lit(limit)))
         candidates = drawn.filter(F.size("_draws") > 0).select("_id", "_x", F.inline("_draws"))
         first = Window.partitionBy("tree").orderBy("h", "_id")
@@ -110,7 +127,7 @@ class IsolationForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultPa
             tree = int(pdf["tree"].iloc[0])
             points = np.stack(pdf.sort_values("_nth")["_x"].to_numpy())
             limit_depth = math.ceil(math.log2(max(len(points), 2)))
-            nodes = grow_tree(points, np.random.default_rng([seed, tree]), limit_depth)
+            nodes = grow_tree(points, seed, tree, limit_depth)
             return pd.DataFrame([{"tree": tree, **nodes}])
 
         # Every group is one tree's sample: at most `sampleSize` rows. The forest itself, at most
@@ -118,7 +135,7 @@ class IsolationForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultPa
         grown = sample.groupBy("tree").applyInPandas(build, _TREE).orderBy("tree").collect()
         model = IsolationForestModel()
         self._copyValues(model)
-        forest = [{k: list(r[k]) for k in ("feature", "cut", "left", "right", "length")} for r in grown]
+        forest = [{k: v for k, v in r.asDict().items() if k != "tree"} for r in grown]
         model._set(forest=json.dumps(forest), sampleSize=min(size, n))
         return model
 
@@ -128,6 +145,14 @@ class IsolationForestModel(Model, _ForestParams, DefaultParamsReadable, DefaultP
 
     forest = Param(Params._dummy(), "forest", "trees as JSON node lists", TypeConverters.toString)
 
+    def nodes(self, spark: SparkSession) -> DataFrame:
+        """The forest as a table: tree, number (as in a heap), size, feature (-1: a leaf), cut, length."""
+        rows = [
+            (t, *values) for t, tree in enumerate(json.loads(self.getOrDefault("forest")))
+            for values in zip(*(tree[k] for k in ("number", "size", "feature", "cut", "length")))
+        ]
+        return spark.createDataFrame(rows, "tree int, number bigint, size int, feature int, cut double, length double")
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         forest = [
             {k: np.asarray(v) for k, v in tree.items()}

@@ -18,7 +18,7 @@ from aerostrata.schema import (
     CORE_FIELDS, HEALTH_BOUNDS, RANGE_BOUNDS, ROLLING_FIELDS, STATS, SYSTEM_FIELDS, feature_names,
 )
 from aerostrata.session import configure, materialize, scratch_dir
-from aerostrata.sources import files, frames, sinks, tables
+from aerostrata.sources import bucketed, files, frame_source, frames, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -173,18 +173,47 @@ def csv_mixed_headers(spark, folder):
     )
 
 
-@register
-def decode_frames(spark, folder):
-    """Nine-byte sensor frames, one per event, decoded; every 13th frame is cut short."""
+def _framed(spark, folder):
     word = lambda x: F.lpad(F.hex((x % 65536).cast("bigint")), 4, "0")
     e, u = F.col("event_id"), F.col("user_id")
     text = F.concat(word(e * 7), F.lit("A5"), word(e * 1009), F.lit("5A"), word(u * 523), F.lit("FF"))
     cut = F.when(e % 13 == 0, F.substring(text, 1, 12)).otherwise(text)
-    framed = fleet.read_events(spark, folder).select("event_id", F.unhex(cut).alias("frame"))
+    return fleet.read_events(spark, folder).select("event_id", F.unhex(cut).alias("frame"))
+
+
+def _decoded(framed):
     out = frames.decode_frames(framed)
     return rounded(out, ["event_id", "co2_ppm"], ["scd_temp_c", "scd_humidity_pct"])
 
 
+@register
+def decode_frames(spark, folder):
+    """Nine-byte sensor frames, one per event, decoded; every 13th frame is cut short."""
+    return _decoded(_framed(spark, folder))
+
+
+@register
+def decode_frame_files(spark, folder):
+    """The same frames written to and read from files of the frame source, in ranges of records."""
+    path, name = scratch_dir(spark, "frames"), frame_source.register(spark)
+    _framed(spark, folder).write.format(name).mode("append").save(path)
+    return _decoded(spark.read.format(name).option("rangeBytes", 1 << 20).load(path))
+
+
+@register
+def stream_frames(spark, folder):
+    """Frame files as a stream that is stopped and goes on: each of two appends is taken once."""
+    path, out, progress = (scratch_dir(spark, n) for n in ("frames", "decoded", "progress"))
+    name, framed = frame_source.register(spark), _framed(spark, folder)
+    for part in (0, 1):
+        framed.filter(F.col("event_id") % 2 == part).write.format(name).mode("append").save(path)
+        stream = frames.decode_frames(spark.readStream.format(name).load(path))
+        sink = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress)
+        sink.trigger(availableNow=True).start().awaitTermination()
+    decoded = spark.read.parquet(out)
+    return rounded(decoded, ["event_id", "co2_ppm"], ["scd_temp_c", "scd_humidity_pct"])
+
+
 # --- micro-batches and status ------------------------------------------------------------------
 
 _KEYS = ["station_id", "event_id", "batch_id", "row_in_batch"]
@@ -218,6 +247,16 @@ def new_batches_only(spark, folder):
     return microbatch.new_batches_only(obs, stored).select(*_KEYS)
 
 
+@register
+def new_batches_bucketed(spark, folder):
+    """The same against a bucketed store, which is not shuffled for it."""
+    obs = observations(spark, folder)
+    where = scratch_dir(spark, "store")
+    store = bucketed.BucketedStore(spark, f"store_{where[-32:]}", 16, where)
+    store.append(obs.filter((F.col("row_in_batch") == 0) & (F.col("event_id") % 3 == 0)))
+    return store.new_only(obs).select(*_KEYS)
+
+
 def _with_status(spark, folder):
     obs = observations(spark, folder).withColumn("_wait", F.col("sps30_status") == "data_not_ready")
     return status.sensor_status(obs, not_ready={"sps30": "_wait"})

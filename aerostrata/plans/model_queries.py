@@ -112,8 +112,8 @@ def _detector_scores(spark, folder, name, exclude_self=True):
 
 @register
 def score_iforest(spark, folder):
-    """Isolation forest scores; random trees, so rows only."""
-    return _detector_scores(spark, folder, "isolation_forest").select("batch_id", "score", "prediction")
+    """Isolation forest scores; every choice follows a keyed hash."""
+    return rounded(_detector_scores(spark, folder, "isolation_forest"), ["batch_id", "prediction"], ["score"])
 
 
 @register

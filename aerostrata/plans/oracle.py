@@ -252,22 +252,70 @@ def _mcnemar() -> str:
     return query("predictions", f"SELECT *, {stat} AS statistic FROM ({body})")
 
 
-def _lof(columns: list[str], k: int = 5, novelty: bool = False) -> str:
-    """Plain all-pairs density ratio over the scaled training rows; `novelty`: each also finds itself."""
+def _points(columns: list[str]) -> str:
+    """Blocks up to `pts`: filled and scaled features of every batch as a list `v`."""
     vec = ", ".join(f"({c} - m_{c}) / s_{c}" for c in columns)
     means = ", ".join(f"coalesce(avg({c}), 0.0) AS m_{c}" for c in columns)
     full = ", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in columns)
     stats = ", ".join(
         f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END AS s_{c}"
         for c in columns)
+    return f"""mu AS (SELECT {means} FROM features),
+full_rows AS (SELECT batch_id, {full} FROM features, mu),
+sd AS (SELECT {stats} FROM full_rows),
+pts AS (SELECT batch_id, [{vec}] AS v FROM full_rows, sd)"""
+
+
+def _forest(columns: list[str], trees: int = 50, size: int = 256, seed: int = 42) -> str:
+    """The isolation forest rebuilt from its keyed hashes, level by level, and walked by every batch."""
+    def hex32(text: str, at: int) -> str:
+        return f"CAST('0x' || substr(md5({text}), {at}, 8) AS BIGINT)"
+
+    depth = (size - 1).bit_length()
+    blocks = [_points(columns), f"""
+lots AS (SELECT batch_id, tree, ({hex32(f"batch_id || '|{seed}'", 1)} % 2147483648 * (1 + (7919 * tree + {104729 * seed}) % 2147483646)
+         + {hex32(f"batch_id || '|{seed}'", 9)} % 2147483648) % 2147483647 AS h FROM pts, range({trees}) AS t(tree)),
+s0 AS (SELECT tree, batch_id, CAST(1 AS BIGINT) AS node FROM lots
+       QUALIFY row_number() OVER (PARTITION BY tree ORDER BY h, batch_id) <= {size}),
+w0 AS (SELECT batch_id, tree, CAST(1 AS BIGINT) AS node FROM pts, range({trees}) AS t(tree)),
+total AS (SELECT least(count(*), {size}) AS n FROM pts)"""]
+    key = f"'{seed}|' || tree || '|' || node"
+    for k in range(depth):
+        blocks.append(f"""
+c{k} AS MATERIALIZED (SELECT tree, node, d, lo, hi, row_number() OVER (PARTITION BY tree, node ORDER BY d) - 1 AS r,
+       count(*) OVER (PARTITION BY tree, node) AS m
+       FROM (SELECT tree, node, d, min(v[d]) AS lo, max(v[d]) AS hi FROM s{k} JOIN pts USING (batch_id), range(1, {len(columns) + 1}) AS f(d)
+             GROUP BY ALL HAVING lo < hi)),
+x{k} AS MATERIALIZED (SELECT tree, node, d, lo + {hex32(key, 9)} / 4294967296.0E0 * (hi - lo) AS cut FROM c{k}
+       WHERE r = {hex32(key, 1)} % m AND {k} < ceil(log2(greatest((SELECT n FROM total), 2)))),
+s{k + 1} AS MATERIALIZED (SELECT tree, batch_id, 2 * node + CAST(v[d] > cut AS INT) AS node FROM s{k} JOIN x{k} USING (tree, node) JOIN pts USING (batch_id)),
+w{k + 1} AS MATERIALIZED (SELECT batch_id, tree, 2 * node + CAST(v[d] > cut AS INT) AS node FROM w{k} JOIN x{k} USING (tree, node) JOIN pts USING (batch_id))""")
+    ends = " UNION ALL ".join(
+        f"SELECT batch_id, tree, node, {k} AS depth FROM w{k}" + (f" ANTI JOIN x{k} USING (tree, node)" if k < depth else "")
+        for k in range(depth + 1))
+    sizes = " UNION ALL ".join(f"SELECT tree, node, count(*) AS n FROM s{k} GROUP BY ALL" for k in range(depth + 1))
+
+    def mean(n: str) -> str:
+        return (f"CASE WHEN {n} <= 1 THEN 0.0E0 WHEN {n} = 2 THEN 1.0E0 "
+                f"ELSE 2.0E0 * (ln({n} - 1.0E0) + 0.5772156649015329E0) - 2.0E0 * ({n} - 1.0E0) / {n} END")
+
+    return query("features", f"""
+, {", ".join(blocks)},
+ends AS ({ends}),
+sizes AS ({sizes}),
+scores AS (SELECT batch_id, 0.5E0 - pow(2.0E0, -avg(depth + {mean('sizes.n')}) / any_value({mean('total.n')})) AS score
+           FROM ends JOIN sizes USING (tree, node), total GROUP BY batch_id)
+SELECT batch_id, {fixed('score')} AS score, CASE WHEN score < 0 THEN -1 ELSE 1 END AS prediction FROM scores
+""").replace("\n\n, mu", ",\nmu", 1)
+
+
+def _lof(columns: list[str], k: int = 5, novelty: bool = False) -> str:
+    """Plain all-pairs density ratio over the scaled training rows; `novelty`: each also finds itself."""
     found = "SELECT * FROM knn"
     if novelty:
         found = f"SELECT p, o, d FROM knn WHERE nth < {k} UNION ALL SELECT batch_id, batch_id, 0.0 FROM pts"
     return query("features", f"""
-, mu AS (SELECT {means} FROM features),
-full_rows AS (SELECT batch_id, {full} FROM features, mu),
-sd AS (SELECT {stats} FROM full_rows),
-pts AS (SELECT batch_id, [{vec}] AS v FROM full_rows, sd),
+, {_points(columns)},
 pairs AS (SELECT a.batch_id AS p, b.batch_id AS o, list_distance(a.v, b.v) AS d
           FROM pts a JOIN pts b ON a.batch_id <> b.batch_id),
 knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY d, o) AS nth FROM pairs) WHERE nth <= {k}),
@@ -336,6 +384,20 @@ SELECT event_id,
        CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(a AS DOUBLE) END AS co2_ppm,
        CASE WHEN event_id % 13 = 0 THEN NULL ELSE round(-45.0E0 + 175.0E0 * b / 65536.0E0 + 1e-7, 6) END AS scd_temp_c,
        CASE WHEN event_id % 13 = 0 THEN NULL ELSE round(100.0E0 * c / 65536.0E0 + 1e-7, 6) END AS scd_humidity_pct
+FROM (SELECT event_id, event_id * 7 % 65536 AS a, event_id * 1009 % 65536 AS b, user_id * 523 % 65536 AS c
+      FROM events)""",
+        "decode_frame_files": """
+SELECT event_id,
+       CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(a AS DOUBLE) END AS co2_ppm,
+       CASE WHEN event_id % 13 = 0 THEN NULL ELSE round(-45.0E0 + 175.0E0 * b / 65536.0E0 + 1e-7, 6) END AS scd_temp_c,
+       CASE WHEN event_id % 13 = 0 THEN NULL ELSE round(100.0E0 * c / 65536.0E0 + 1e-7, 6) END AS scd_humidity_pct
+FROM (SELECT event_id, event_id * 7 % 65536 AS a, event_id * 1009 % 65536 AS b, user_id * 523 % 65536 AS c
+      FROM events)""",
+        "stream_frames": """
+SELECT event_id,
+       CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(a AS DOUBLE) END AS co2_ppm,
+       CASE WHEN event_id % 13 = 0 THEN NULL ELSE round(-45.0E0 + 175.0E0 * b / 65536.0E0 + 1e-7, 6) END AS scd_temp_c,
+       CASE WHEN event_id % 13 = 0 THEN NULL ELSE round(100.0E0 * c / 65536.0E0 + 1e-7, 6) END AS scd_humidity_pct
 FROM (SELECT event_id, event_id * 7 % 65536 AS a, event_id * 1009 % 65536 AS b, user_id * 523 % 65536 AS c
       FROM events)""",
         "assign_microbatches": query("obs", "SELECT station_id, event_id, batch_id, row_in_batch FROM obs"),
@@ -350,6 +412,9 @@ FROM (SELECT event_id, event_id * 7 % 65536 AS a, event_id * 1009 % 65536 AS b,
         "new_batches_only": query(
             "obs", "SELECT station_id, event_id, batch_id, row_in_batch FROM obs WHERE batch_id NOT IN "
                    "(SELECT batch_id FROM obs WHERE row_in_batch = 0 AND event_id % 3 = 0)"),
+        "new_batches_bucketed": query(
+            "obs", "SELECT station_id, event_id, batch_id, row_in_batch FROM obs WHERE batch_id NOT IN "
+                   "(SELECT batch_id FROM obs WHERE row_in_batch = 0 AND event_id % 3 = 0)"),
         "sensor_status": query(
             "obs", "SELECT event_id, scd41_status, bme688_status, sps30_status, "
                    f"{_overall()} AS sensor_status FROM obs"),
@@ -509,6 +574,7 @@ SELECT CAST(fold AS INT) AS fold, term, CAST(CASE WHEN fold < 0 THEN n ELSE n -
        0.0E0 AS gradient
 FROM (SELECT CAST(floor(0.8E0 * any_value(total)) AS BIGINT) AS n FROM indexed) s, range(-1, 5) AS f(fold),
      (SELECT unnest([{', '.join(repr(c) for c in ['intercept', *FEATURES])}]) AS term) t"""),
+        "score_iforest": _forest(FEATURES),
         "score_lof": _lof(FEATURES),
         "score_lof_novelty": _lof(FEATURES, novelty=True),
     }

@@ -46,7 +46,7 @@ def _brute_lof(train, queries, k, own):
     return lrd[qi].mean(1) * (np.maximum(qd, kdist[qi]).mean(1) + 1e-10)
 
 
-@pytest.mark.parametrize("block", [8, 40, 1000])
+@pytest.mark.parametrize("block", [15, 40, 1000])
 def test_neighbours_equal_brute_force(spark, block):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 1, (120, 4))
@@ -87,7 +87,7 @@ def test_visits_grow_slower_than_the_leaves(spark):
     assert share[1] < 0.7 * share[0], (visits, share)
 
 
-@pytest.mark.parametrize("block", [12, 2000])
+@pytest.mark.parametrize("block", [25, 2000])
 def test_lof_equals_brute_force(spark, block):
     x = _points()
     df = _vectors(spark, x)
