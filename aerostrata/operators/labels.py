@@ -76,32 +76,33 @@ def inject_anomalies(
     )
 
 
+_HEAD = 3      # hex digits that one round looks at: 4,096 counts at most come to the driver
+_FEW = 4_096   # digests that are looked at one by one
+
+
 def chosen_digests(digests: DataFrame, fraction: float) -> DataFrame:
-    """One row with the k-th smallest digest, k = max(1, int(n * fraction)).
+    """One row with the k-th smallest digest `_digest`, k = max(1, int(n * fraction)); none without rows.
 
-    Digests are uniform, so a leading-digit histogram (at most 65,536 rows) names the digit
-    group that holds the k-th one, and only that group is ranked.
+    Digests are counted by their next digits, and the range that holds the k-th one is narrowed until it
+    holds few or a single one. No rows are ordered, however many there are or equal each other.
     """
-    head = F.substring("_digest", 1, 4)
-    histogram = digests.groupBy(head.alias("_head")).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.orderBy("_head").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    k = F.greatest(F.lit(1), F.floor(F.col("_all") * F.lit(fraction)))
-    group = (
-        histogram.withColumns({
-            "_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(everything),
-        })
-        .withColumn("_k", k)
-        .filter((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")))
-        .select("_head", (F.col("_k") - (F.col("_upto") - F.col("_n"))).alias("_rank"))
-    )
-    rank = Window.partitionBy("_head").orderBy("_digest")
-    return (
-        digests.withColumn("_head", head)
-        .join(F.broadcast(group), "_head")
-        .withColumn("_nth", F.row_number().over(rank))
-        .filter(F.col("_nth") == F.col("_rank"))
-        .select(F.col("_digest").alias("_last"))
-    )
+    spark, prefix, left = digests.sparkSession, "", None
+    while True:
+        inside = digests.filter(F.col("_digest").startswith(prefix)) if prefix else digests
+        head = F.substring("_digest", len(prefix) + 1, _HEAD)
+        counts = sorted((r[0], r[1]) for r in inside.groupBy(head).agg(F.count(F.lit(1))).collect())
+        if left is None:
+            n = sum(c for _, c in counts)
+            if not n:
+                return spark.createDataFrame([], "_last string")
+            left = max(1, int(n * fraction))
+        for digits, count in counts:
+            if left <= count:
+                break
+            left -= count
+        prefix += digits
+        if len(prefix) >= 32:
+            return spark.createDataFrame([(prefix,)], "_last string")
+        if count <= _FEW:
+            few = sorted(r[0] for r in digests.filter(F.col("_digest").startswith(prefix)).select("_digest").collect())
+            return spark.createDataFrame([(few[left - 1],)], "_last string")
