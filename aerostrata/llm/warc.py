@@ -257,7 +257,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                     if rows:
                         yield batch(rows)
 
-    spread = archives.select("archive").repartition("archive")
+    # A fixed number: adaptive execution would merge partitions by the bytes of the listing, not of the archives.
+    spread = archives.select("archive").repartition(max(1, archives.count()), "archive")
     return spread.mapInArrow(run, _RECORD)
 
 
