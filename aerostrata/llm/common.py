@@ -27,27 +27,29 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# Shuffle files of a finished statement go at once instead of when the driver next collects garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """`df` as a zstd table in the shared folder, and the table's path (see `drop`).
-
-    The write's own shuffle files are removed after it; nothing reads them again.
-    """
+    """`df` as a zstd table in the shared folder, and the table's path (see `drop`)."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def tidily_written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As `written`; the write's shuffle files go with it, not when the driver next collects garbage."""
+    spark = df.sparkSession
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        return written(df, name)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
@@ -166,5 +168,5 @@ def components(edges: DataFrame) -> tuple[DataFrame, str]:
 
 __all__ = [
     "components", "drop", "fresh_id", "likely", "link", "materialize", "pieces_of", "prepared",
-    "whole_groups", "written",
+    "tidily_written", "whole_groups", "written",
 ]
