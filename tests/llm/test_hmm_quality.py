@@ -47,7 +47,7 @@ def small_model(seed, states, classes):
         x = rng.random(shape) + 0.05
         return x / x.sum(axis=-1, keepdims=True)
 
-    return hmm.Model(shares(states), shares(states), shares(states, states), shares(states, classes).T.copy(), np.ones(classes))
+    return hmm.Model(shares(states), shares(states, states), shares(states, classes).T.copy(), np.ones(classes))
 
 
 def test_forward_recursion_is_exact():
@@ -64,27 +64,54 @@ def test_expected_counts_match_enumeration():
 
     model, rng = small_model(3, 2, 5), np.random.default_rng(4)
     sizes = np.array([4, 1, 3])
-    begins = np.array([True, False, True])
     classes = rng.integers(0, 5, sizes.sum())
     starts = np.cumsum(sizes) - sizes
-    emissions, moves, first = np.zeros((5, 2)), np.zeros((2, 2)), np.zeros(2)
-    for lo, n, begin in zip(starts, sizes, begins):
+    emissions, moves, first, likelihood = np.zeros((5, 2)), np.zeros((2, 2)), np.zeros(2), 0.0
+    for lo, n in zip(starts, sizes):
         own, weights = classes[lo:lo + n], {}
         for path in product(range(2), repeat=int(n)):
-            p = (model.start if begin else model.middle)[path[0]]
+            p = model.start[path[0]]
             for t in range(n):
                 p *= model.emit[own[t], path[t]] * (model.move[path[t - 1], path[t]] if t else 1)
             weights[path] = p
         total = sum(weights.values())
+        likelihood += math.log10(total)
         for path, p in weights.items():
+            first[path[0]] += p / total
             for t in range(n):
                 emissions[own[t], path[t]] += p / total
                 if t:
                     moves[path[t - 1], path[t]] += p / total
-            if begin:
-                first[path[0]] += p / total
-    got = hmm.expected_counts(classes, starts, sizes, begins, model)
-    assert np.allclose(got[0], emissions) and np.allclose(got[1], moves) and np.allclose(got[2], first)
+    got = hmm.expected_counts(classes, starts, sizes, model)
+    assert np.allclose(got[0], emissions) and np.allclose(got[1], moves) and np.allclose(got[2], first) and math.isclose(got[3], likelihood)
+
+
+def test_states_are_carried_over_the_cuts_of_long_texts(monkeypatch):
+    model, rng = small_model(5, 4, 9), np.random.default_rng(6)
+    sizes = np.array([700, 3, 129, 128, 1, 260])
+    classes = rng.integers(0, 9, sizes.sum())
+    starts = np.cumsum(sizes) - sizes
+    whole = hmm.expected_counts(classes, starts, sizes, model)
+    assert math.isclose(whole[3], hmm.log_likelihoods(classes, sizes, model).sum(), rel_tol=1e-9)
+    for segment, together in ((128, 1 << 18), (7, 1 << 18), (16, 64)):
+        monkeypatch.setattr(hmm, "LONG", 2)
+        monkeypatch.setattr(hmm, "SEGMENT", segment)
+        monkeypatch.setattr(hmm, "_TOGETHER", together)
+        cut = hmm.expected_counts(classes, starts, sizes, model)
+        assert all(np.allclose(a, b, rtol=1e-9) for a, b in zip(whole, cut))
+
+
+def test_totals_of_words_in_many_blocks(docs_of, monkeypatch):
+    monkeypatch.setattr(hmm, "_BLOCK_TOKENS", 20)
+    monkeypatch.setattr(hmm, "_SALTED", 3)
+    docs = docs_of([(i, f"common word{i % 7}") for i in range(300)])
+    rows = hmm.scored(docs, states=2, rounds=1).collect()
+    train = [i for i in range(300) if not held(i)]
+    counts = Counter(w for i in train for w in ("common", f"word{i % 7}", ""))
+    n, v = sum(counts.values()), len(counts)
+    for r in rows:
+        want = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ("common", f"word{r.doc_id % 7}", ""))
+        assert r.train_tokens == n and math.isclose(r.base_score, want, abs_tol=1e-9)
 
 
 def two_kinds(n):
@@ -96,7 +123,7 @@ def two_kinds(n):
 def test_training_beats_the_unigram_on_held_out_texts_and_grows(docs_of):
     docs = docs_of(two_kinds(300))
     once = {r.doc_id: r for r in hmm.scored(docs, states=4, rounds=1).collect()}
-    rows = hmm.scored(docs, states=4, rounds=4).collect()
+    rows = hmm.scored(docs, states=4, rounds=4, gain=-math.inf).collect()
     out = [r for r in rows if r.held_out]
     assert sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out) > 0.2
     train = [r for r in rows if not r.held_out]
