@@ -2,10 +2,13 @@
 
 Two generative models over hashed words and word pairs are counted: one from the target (labelled
 good documents), one from the raw text (all documents). A document's weight is the log ratio of its
-probabilities under the two, tempered so that a long document is weighed by its average. Adding Gumbel noise to the weights and taking the k largest keys draws k
-documents without replacement in proportion to their weights. The cut between kept and rejected
-documents is set on labelled documents that did not enter the target, and k is the number of
-documents at or above it.
+probabilities under the two as an average over its features, times `SCALE`, and shrunk as if `SCALE`
+more features of no weight were there; one rule for every length. Adding Gumbel noise to the weights and
+taking the k largest keys draws k documents without replacement in proportion to their weights.
+
+k is the number of good documents that the corpus is estimated to hold, by adjusted counting: labelled
+documents that did not enter the target tell which share of the good and of the poor ones have a key
+above a cut; the share of all documents above it then gives the share of good ones among them.
 """
 
 from __future__ import annotations
@@ -20,12 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from aerostrata.llm.common import prepared, written
+from aerostrata.llm.common import drop, prepared, written
 
 BUCKETS = 1 << 16
 LABELLED = 20_000        # labelled documents that are read for target and cut; the bound of the sample
 GOOD_COST = 4.0          # how much worse it is to reject a good document than to keep a poor one
-WEIGHED = 100            # a longer document is weighed by its average over so many features
+SCALE = 100              # features; see the rule of the weight above
 _SMOOTH = 1.0
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\x00-\x20 0-9A-Za-z\x80-\xff]+")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -53,12 +56,22 @@ def gumbel(doc_id: int | None, text: str | None) -> float:
 
 @dataclass
 class Model:
-    ratio: np.ndarray  # by bucket: log of target over raw probability
-    cut: float         # smallest key that is kept
+    ratio: np.ndarray        # by bucket: log of target over raw probability
+    cut: float               # key that tells good and poor labelled documents apart best
+    good_above: float = 1.0  # share of good labelled documents with a key at or above the cut
+    poor_above: float = 0.0  # share of poor ones
 
     def weight(self, text: str | None) -> tuple[int, float]:
         found = features(text)
-        return len(found), float(self.ratio[found].sum()) * min(1.0, WEIGHED / max(1, len(found)))
+        return len(found), float(self.ratio[found].sum()) * SCALE / (SCALE + len(found))
+
+    def good(self, documents: int, above: int) -> int:
+        """How many of the documents are good, if so many have a key at or above the cut."""
+        apart = self.good_above - self.poor_above
+        if not documents or apart <= 0 or not np.isfinite(self.cut):
+            return documents
+        share = (above / documents - self.poor_above) / apart
+        return int(np.ceil(documents * min(1.0, max(0.0, share)) - 1e-9))
 
 
 def labelled(docs_labels: DataFrame, most: int = LABELLED) -> list[tuple[int, bool, bool]]:
@@ -72,7 +85,13 @@ def labelled(docs_labels: DataFrame, most: int = LABELLED) -> list[tuple[int, bo
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, good_cost: float = GOOD_COST) -> Model:
-    """Count both models over all of `docs`, and set the cut; without labels nothing is rejected."""
+    """Count both models over all of `docs`, and set the cut; without labels nothing is rejected.
+
+    `labels` has doc_id and quality, 1 for good; null ids or qualities and ids that `docs` lacks are left
+    out, a document with several labels is good if all say so. A null or empty text has no features.
+    Repeated rows count as often as they occur. Empty tables, or no good label, give a model that keeps
+    everything. Other columns are not read.
+    """
     spark = prepared(docs.sparkSession)
     known = labelled(labels, most)
     target = spark.sparkContext.broadcast({i for i, good, in_target in known if good and in_target})
@@ -117,7 +136,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, good_cost: flo
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.bool_())], ["key", "good"])
 
     judged = own.mapInArrow(judge, "key double, good boolean").toPandas()  # about `most` rows
-    model.cut = best_cut(judged["key"].to_numpy(float), judged["good"].to_numpy(bool), good_cost)
+    keys, is_good = judged["key"].to_numpy(float), judged["good"].to_numpy(bool)
+    model.cut = best_cut(keys, is_good, good_cost)
+    above = keys >= model.cut
+    model.good_above = float(above[is_good].mean()) if is_good.any() else 1.0
+    model.poor_above = float(above[~is_good].mean()) if (~is_good).any() else 0.0
     return model
 
 
@@ -179,30 +202,41 @@ def kth_largest(keys: DataFrame, k: int) -> float:
     return hi
 
 
+def _least(table: DataFrame, model: Model, k: int | None) -> float:
+    """The smallest key that is drawn from the scored documents `table`."""
+    if k is None:
+        n, above = table.agg(F.count(F.lit(1)), F.count_if(F.col("gumbel_key") >= F.lit(float(model.cut)))).first()
+        k = model.good(n, above)
+    return float(kth_largest(table.select(F.col("gumbel_key").alias("key")), k))
+
+
 def resampled(docs: DataFrame, model: Model, k: int | None = None) -> DataFrame:
     """Scores of all documents and which of them are drawn: the k with the largest keys.
 
-    Without k it is the number of documents at or above the model's cut. Adds `kept` to `scored`.
-    Ties at the k-th key are all kept. A null or empty text has weight zero, so its noise decides
-    against the cut; a null doc_id stays null; repeated rows are scored alike; an empty table gives
+    Without k it is the estimated number of good documents. Adds `kept` to `scored`.
+    Ties at the k-th key are all kept. A null or empty text has weight zero, so its noise decides;
+    a null doc_id stays null; repeated rows are scored alike; an empty table gives
     no rows; other columns are not read.
     """
     table, _ = written(scored(docs, model), "weights")
-    if k is None:
-        k = table.filter(F.col("gumbel_key") >= F.lit(float(model.cut))).count()
-    least = kth_largest(table.select(F.col("gumbel_key").alias("key")), k)
-    return table.withColumn("kept", F.col("gumbel_key") >= F.lit(float(least)))
+    return table.withColumn("kept", F.col("gumbel_key") >= F.lit(_least(table, model, k)))
 
 
-def filtered(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents, all columns, that `resampled` keeps: their key is at or above the cut."""
+def filtered(docs: DataFrame, model: Model, k: int | None = None) -> DataFrame:
+    """The documents, all columns, that `resampled` draws: the k of the largest keys, and ties at the k-th.
+
+    Nulls, empty texts, repeated rows and empty tables are treated as there.
+    """
+    keys, path = written(scored(docs, model).select("gumbel_key"), "keys")
+    least = _least(keys, model, k)
+    drop(docs.sparkSession, path)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for b in batches:
             kept = [
-                own.weight(t := text.as_py())[1] + gumbel(i, t) >= own.cut
+                own.weight(t := text.as_py())[1] + gumbel(i, t) >= least
                 for i, text in zip(b.column("doc_id").to_pylist(), b.column("text"))
             ]
             yield b.filter(pa.array(kept, pa.bool_()))

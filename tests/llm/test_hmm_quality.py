@@ -181,7 +181,7 @@ def test_weights_match_plain_counts(spark, docs_of):
     share = sum(good.values()) / sum(raw.values())
     for r in quality.scored(docs_of(docs), model).collect():
         own = quality.features(docs[r.doc_id][1]).tolist()
-        weight = sum(math.log((good[b] + 1) / (raw[b] * share + 1)) for b in own) * min(1, quality.WEIGHED / len(own))
+        weight = sum(math.log((good[b] + 1) / (raw[b] * share + 1)) for b in own) * quality.SCALE / (quality.SCALE + len(own))
         assert r.n_features == len(own) and math.isclose(r.log_weight, weight, abs_tol=1e-9)
         assert math.isclose(r.gumbel_key, weight + quality.gumbel(r.doc_id, docs[r.doc_id][1]), abs_tol=1e-9)
 
@@ -209,3 +209,19 @@ def test_without_labels_nothing_goes(spark, docs_of):
     model = quality.fit(docs, none)
     assert all(r.kept for r in quality.resampled(docs, model).collect())
     assert quality.resampled(docs_of([]), quality.fit(docs_of([]), none)).collect() == []
+
+
+def test_good_documents_are_estimated_by_adjusted_counting():
+    model = quality.Model(np.zeros(quality.BUCKETS), 0.0, 0.9, 0.2)
+    assert model.good(1000, 550) == 500  # 0.9 x 500 + 0.2 x 500 lie above the cut
+    assert model.good(1000, 950) == 1000 and model.good(1000, 100) == 0 and model.good(0, 0) == 0
+    assert quality.Model(model.ratio, 0.0, 0.3, 0.3).good(10, 4) == 10
+    assert quality.Model(model.ratio, -np.inf).good(10, 10) == 10
+
+
+def test_the_filter_draws_k_documents_too(spark, docs_of):
+    docs, labels = labelled_corpus(16, 150)
+    model = quality.fit(docs_of(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    for k in (0, 40, 150):
+        drawn = {r.doc_id for r in quality.resampled(docs_of(docs), model, k).collect() if r.kept}
+        assert len(drawn) == k and {r.doc_id for r in quality.filtered(docs_of(docs), model, k).collect()} == drawn

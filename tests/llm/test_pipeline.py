@@ -23,7 +23,9 @@ def test_pipeline_matches_brute_force(spark, docs_of, tmp_path):
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     table.write.parquet(f"{folder}/labels.parquet")
     model = quality.fit(spark.read.parquet(f"{folder}/documents.parquet"), table)
-    now = [(d, t) for d, t in docs if model.weight(t)[1] + quality.gumbel(d, t) >= model.cut]
+    keys = [model.weight(t)[1] + quality.gumbel(d, t) for d, t in docs]
+    k = model.good(len(keys), sum(x >= model.cut for x in keys))
+    now = [row for row, x in zip(docs, keys) if k and x >= sorted(keys, reverse=True)[k - 1]]
     assert len(now) < len(docs)
     now = [(d, k) for (d, _), k in zip(now, brute.lines_kept(now))]
     now = brute.one_of_each(now)
