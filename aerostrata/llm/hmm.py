@@ -32,15 +32,15 @@ STATES = 8
 CLASSES = 1 << 14        # a power of two: the class is the low bits of the word's hash
 ROUNDS = 6               # at most
 GAIN = 0.01              # log10 likelihood a training token, below which another round is not worth it
-PARTING = 2              # times that documents move between the parts of the first model
+PARTING = 1              # times that documents move between the parts of the first model
 SEGMENT = 128            # a long document's segments, computed side by side
-LONG = 4096              # tokens from which a document is computed by segments, with the same result
+LONG = 512               # tokens from which a document is computed by segments, with the same result
 _PRIOR = 1000.0          # weight of the corpus distribution in a state's emissions, in tokens
 _BLOCK_TOKENS = 1 << 20  # the larger a block, the fewer times a word is sent
-_TOGETHER = 1 << 18     # tokens that go through the recursions together
+_TOGETHER = 1 << 19     # tokens that go through the recursions together
 _SALTED = 256           # blocks of one word that meet under one key
 END = ""                 # the end token; no word is empty
-_BLOCK = "block long, doc_ids array<long>, held binary, sizes binary, seq binary, words array<string>, counts array<long>"
+_BLOCK = "block long, doc_ids array<long>, held binary, sizes binary, seq binary, classes binary, words array<string>, counts array<long>"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -73,8 +73,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([
             pa.array([fresh_id()]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(held, np.uint8).tobytes()], pa.binary()),
             pa.array([np.array([len(s) for s in seqs], np.int64).tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()),
+            pa.array([np.fromiter(map(class_of, index), np.uint16, len(index)).tobytes()], pa.binary()),
             pa.array([[w.decode() for w in index]], pa.list_(pa.string())), pa.array([counts.tolist()], pa.list_(pa.int64())),
-        ], ["block", "doc_ids", "held", "sizes", "seq", "words", "counts"])
+        ], ["block", "doc_ids", "held", "sizes", "seq", "classes", "words", "counts"])
 
     index, ids, held, seqs, size = _Numbers(), [], [], [], 0
     for b in batches:
@@ -93,7 +94,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Classes of a block's tokens, their local word numbers, document sizes, held-out flags."""
-    classes = np.fromiter((class_of(w.encode()) for w in row["words"]), np.int64, len(row["words"]))
+    classes = np.frombuffer(row["classes"], np.uint16).astype(np.int64)
     seq = np.frombuffer(row["seq"], np.uint32)
     return classes[seq], seq, np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["held"], np.uint8).astype(bool)
 
@@ -163,13 +164,9 @@ def _transfers(classes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, model
     return out
 
 
-def _long_counts(classes: np.ndarray, start: int, size: int, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """As `expected_counts`, of one long sequence by segments: states are carried over every cut, exactly."""
-    cuts = np.arange(0, size, SEGMENT)
-    starts, sizes = start + cuts, np.minimum(SEGMENT, size - cuts)
-    step = max(1, _TOGETHER // SEGMENT)
-    transfer = np.concatenate([_transfers(classes, starts[i:i + step], sizes[i:i + step], model) for i in range(0, len(cuts), step)])
-    n, states = len(cuts), len(model.start)
+def _carried(transfer: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the segments of one sequence: distributions before them, backward values at their ends, moves over the cuts."""
+    n, states = len(transfer), len(model.start)
     entry, after, leave = np.empty((n, states)), np.empty((n, states)), np.ones((n, states))
     now = model.start
     for i in range(n):
@@ -185,16 +182,27 @@ def _long_counts(classes: np.ndarray, start: int, size: int, model: Model) -> tu
         cross += np.outer(after[i - 1], ahead) / meet
         back = back / meet
         leave[i - 1] = back
-    emissions, moves, likelihood = np.zeros((len(model.emit), states)), cross, 0.0
-    first = np.zeros(states)
-    for i in range(0, n, step):
-        e, m, f, ll = _recursions(classes, starts[i:i + step], sizes[i:i + step], model, entry[i:i + step], leave[i:i + step])
-        emissions += e
-        moves = moves + m
-        likelihood += ll
-        if i == 0:
-            first = f[0]
-    return emissions, moves * model.move, first, likelihood
+    return entry, leave, cross
+
+
+def _long_counts(classes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """As `expected_counts`, of long sequences by segments: states are carried over every cut, exactly."""
+    parts = -(-sizes // SEGMENT)
+    ends = np.cumsum(parts)
+    cuts = (np.arange(int(parts.sum())) - np.repeat(ends - parts, parts)) * SEGMENT
+    begin, length = np.repeat(starts, parts) + cuts, np.minimum(SEGMENT, np.repeat(sizes, parts) - cuts)
+    step = max(1, _TOGETHER // (8 * SEGMENT))
+    transfer = np.concatenate([_transfers(classes, begin[i:i + step], length[i:i + step], model) for i in range(0, len(cuts), step)])
+    carried = [_carried(transfer[hi - n:hi], model) for hi, n in zip(ends.tolist(), parts.tolist())]
+    entry, leave = np.concatenate([c[0] for c in carried]), np.concatenate([c[1] for c in carried])
+    states = len(model.start)
+    emissions, moves, likelihood = np.zeros((len(model.emit), states)), sum(c[2] for c in carried), 0.0
+    firsts = []
+    for i in range(0, len(cuts), step):
+        e, m, f, ll = _recursions(classes, begin[i:i + step], length[i:i + step], model, entry[i:i + step], leave[i:i + step])
+        emissions, moves, likelihood = emissions + e, moves + m, likelihood + ll
+        firsts.append(f)
+    return emissions, moves * model.move, np.concatenate(firsts)[ends - parts].sum(axis=0), likelihood
 
 
 def expected_counts(
@@ -203,9 +211,8 @@ def expected_counts(
     """Expected emissions (class x state), moves (state x state) and starts of whole sequences, and their log10 likelihood."""
     states = len(model.start)
     emissions, moves, first, likelihood = np.zeros((len(model.emit), states)), np.zeros((states, states)), np.zeros(states), 0.0
-    for i in np.flatnonzero(sizes > LONG).tolist():
-        e, m, f, ll = _long_counts(classes, int(starts[i]), int(sizes[i]), model)
-        emissions, moves, first, likelihood = emissions + e, moves + m, first + f, likelihood + ll
+    if (sizes > LONG).any():
+        emissions, moves, first, likelihood = _long_counts(classes, starts[sizes > LONG], sizes[sizes > LONG], model)
     order = np.argsort(-sizes, kind="stable")
     order = order[sizes[order] <= LONG]
     part = np.cumsum(sizes[order]) // _TOGETHER
@@ -247,7 +254,7 @@ def _summed(blocks: DataFrame, states: int, rows: int, task: Callable[[np.ndarra
         if len(full):
             yield pa.RecordBatch.from_arrays([pa.array(full), *[pa.array(total[full, k]) for k in range(states)]], ["key", *[f"s{k}" for k in range(states)]])
 
-    found = blocks.select("held", "sizes", "seq", "words").mapInArrow(run, "key long, " + ", ".join(f"s{k} double" for k in range(states)))
+    found = blocks.select("held", "sizes", "seq", "classes").mapInArrow(run, "key long, " + ", ".join(f"s{k} double" for k in range(states)))
     table = np.zeros((rows, states))
     for row in found.groupBy("key").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)]).collect():
         table[row[0]] = row[1:]
@@ -360,7 +367,7 @@ def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, gain: fl
     def score(block: pa.Table, total: pa.Table) -> pa.Table:
         row, own = block.to_pylist()[0], sent.value
         classes, seq, sizes, held = _unpacked(row)
-        c = np.zeros(len(row["words"]), np.int64)
+        c = np.zeros(len(row["classes"]) // 2, np.int64)
         c[total["pos"].to_numpy()] = total["c"].to_numpy()
         first = np.cumsum(sizes) - sizes
         log_c = np.add.reduceat(np.log10(c + 0.5)[seq], first)
@@ -372,5 +379,5 @@ def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, gain: fl
             "score": pa.array(log_c - log_mass + log_likelihoods(classes, sizes, own)),
         })
 
-    kept = blocks.select("block", "doc_ids", "held", "sizes", "seq", "words")
+    kept = blocks.select("block", "doc_ids", "held", "sizes", "seq", "classes")
     return kept.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(score, schema)
