@@ -105,6 +105,16 @@ def test_vectors_match_brute_force(spark, monkeypatch):
 def test_vectors_of_the_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [tuple(r) for r in table.select("vec_id", "embedding", "label").collect()]
+    rng = np.random.default_rng(31)
+    # The table has no near pairs of one label: plant some, at cosines from just above the limit upward.
+    for i, (_, vector, label) in enumerate(rows[:600:2]):
+        own = np.array(vector, float) / np.linalg.norm(vector)
+        away = rng.normal(size=len(own))
+        away -= (away @ own) * own
+        cosine = rng.uniform(0.932, 0.99)
+        near = cosine * own + np.sqrt(1 - cosine**2) * away / np.linalg.norm(away)
+        rows.append((1_000_000 + i, near.astype(np.float32).tolist(), label))
+    table = spark.createDataFrame(rows, table.select("vec_id", "embedding", "label").schema)
     values = np.array([r[1] for r in rows], float)
     values /= np.linalg.norm(values, axis=1, keepdims=True)
     labels = np.array([r[2] for r in rows])
@@ -112,6 +122,7 @@ def test_vectors_of_the_table(spark):
     true = linked.sum(axis=1) - 1
     got = {r.vec_id: r.n_links for r in pivots.near_groups(table).collect()}
     found = np.array([got[r[0]] for r in rows])
+    assert true.sum() >= 600
     assert (found <= true).all() and found.sum() >= 0.9 * true.sum()
 
 
