@@ -69,6 +69,27 @@ def test_neighbours_equal_brute_force(spark, block):
         assert np.allclose([d for d, _ in sorted(got[f"q{i}"])], dist[i, best])
 
 
+def test_a_search_shuffles_vectors_once(spark):
+    """However many leaves are visited: one grouping of the queries, and copies and ties stay exact."""
+    rng = np.random.default_rng(8)
+    x = np.unique(np.vstack([rng.integers(0, 3, (150, 4)) * 1.0, rng.normal(1e4, 1e-3, (40, 4)), np.zeros((1, 4))]), axis=0)
+    names = [f"p{i:03d}" for i in range(len(x))]
+    points = spark.createDataFrame([(n, [float(a) for a in v], 1) for n, v in zip(names, x)],
+                                   "vid string, v array<double>, m bigint")
+    index = build_index(points, scratch_dir(spark, "index"), 20)
+    found = knn_join(index.points, index, 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and "CoGroups" not in plan and "Window" not in plan
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["vid"], []).append((r["d"], r["o"]))
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for i, name in enumerate(names):
+        want = sorted((d, o) for d, o in zip(dist[i], names) if o != name)[:5]
+        assert [o for _, o in sorted(got[name])] == [o for _, o in want]
+        assert np.allclose([d for d, _ in sorted(got[name])], [d for d, _ in want], rtol=1e-12, atol=0)
+
+
 def test_visits_grow_slower_than_the_leaves(spark):
     """Ten times the batches: more leaves, and each query visits a smaller share of them."""
     share, visits = [], []
